@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 #: The characters that separate words, as a regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 #: Text that is worked on at one time in a Python worker, in bytes.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows and bytes that Spark hands a Python worker at one time, at most.
+BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
 #: Stands for a null doc_id where rows are matched by key.
 NO_ID = -(2**63)
 
@@ -46,6 +48,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size, as texts may be long."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(conf.get(key, "0"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, most)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,7 +105,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, each computed once; emptied when it has ``most`` entries."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 100_000):
         super().__init__()
         import xxhash
 

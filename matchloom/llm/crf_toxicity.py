@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, platt, ragged, text_chunks
+from .common import fold, labelled_sample, mapped, platt, ragged, text_chunks
 
 BITS = 18
 PARTS, HELD = 5, 0
 #: Most training rows of either class, and the longest of them in bytes.
 PER_CLASS, MAX_BYTES = 1200, 100_000
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+")
-SPAN = 8 << 20
+SPAN = 3 << 20
 
 
 def keys(word: bytes) -> list[bytes]:
@@ -64,7 +64,7 @@ class Emissions(dict):
 
     def __missing__(self, word: bytes) -> tuple[float, float, float]:
         value = tuple(float(self.weights[x].sum()) for x in traits(word))
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value
         return value
@@ -273,5 +273,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max
     """doc_id, held_out, score, predicted and spans (flat list of starts and ends, code points) for every row."""
     model = fit(*labelled_sample(docs, labels, "toxic", PARTS, HELD, per_class, max_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", PARTS) == HELD).alias("held_out"), "text")
-    out = rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, spans array<int>")
+    out = mapped(rows, scorer(model), "doc_id long, held_out boolean, score double, spans array<int>")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

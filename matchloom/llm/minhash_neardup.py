@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, mix, polynomial, ragged, row_key, saved, text_chunks
+from .common import NO_ID, WordHashes, mapped, mix, polynomial, ragged, row_key, saved, text_chunks
 from .components import connected_components
 
 SHINGLE = 5
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row's key (__k1, __k2), doc_id, n_shingles and label: rows of one label are near-duplicates; null: of none."""
     keyed = docs.select(*row_key(), "text")
     rows = saved(
-        keyed.mapInArrow(sketches, "__k1 long, __k2 long, n long, node long, bands array<long>")
+        mapped(keyed, sketches, "__k1 long, __k2 long, n long, node long, bands array<long>")
     )
     members = rows.where("node is not null").select("node", F.explode("bands").alias("bucket"))
     shared = (
@@ -167,12 +167,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = inside.select("node").distinct()
     owners = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("__k2", "__k1")).alias("row"))
     owners = owners.join(names, "node", "left_semi").select("node", F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"))
-    sets = saved(
-        keyed.join(owners, ["__k1", "__k2"])
-        .dropDuplicates(["__k1", "__k2"])
-        .select("node", "text")
-        .mapInArrow(packed_sets, "node long, members binary")
-    )
+    texts = keyed.join(owners, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select("node", "text")
+    sets = saved(mapped(texts, packed_sets, "node long, members binary"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) whose sets are similar enough."""
@@ -180,7 +176,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
         sizes = F.octet_length("left"), F.octet_length("right")
         near = pairs.join(left, "a").join(right, "b").where(100 * F.least(*sizes) >= LEAST * F.greatest(*sizes))
-        return near.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
+        return mapped(near.select("a", "b", "left", "right"), confirm, "a long, b long")
 
     def edges(centre: str, of: DataFrame) -> DataFrame:
         return of.where(F.col(centre) != F.col("node")).select(

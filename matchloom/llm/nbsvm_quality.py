@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, mix, platt, ragged, text_chunks
+from .common import fold, labelled_sample, mapped, mix, platt, ragged, text_chunks
 
 BITS = 20
 PARTS, HELD = 3, 1
@@ -52,7 +52,7 @@ class Types(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = (zlib.crc32(word) & 0x3FFFFFFF) << 33 | shape(word)
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value
         return value
@@ -172,7 +172,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFra
     """doc_id, held_out, score and predicted for every row of ``docs``."""
     model = train(docs, labels, **bounds)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", PARTS) == HELD).alias("held_out"), "text")
-    return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double").withColumn(
+    return mapped(rows, scorer(model), "doc_id long, held_out boolean, score double").withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )
 
@@ -192,4 +192,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
             margin = np.bincount(doc, w[feature], len(texts)) + bias
             yield part.filter(pa.array(slope * margin + offset >= 0))
 
-    return docs.select(names).mapInArrow(accept, docs.schema)
+    return mapped(docs.select(names), accept, docs.schema)

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .crf_toxicity import toxicity
+from .html_layout import page_texts
+from .kdtree_topk import top_products
 from .minhash_neardup import components
 from .nbsvm_quality import quality_scores
 from .pivotal_mix import mixture
 from .range_shards import shard_rows
+from .secret_scan import secrets
+from .superkmer_dedup import removed_words
 from .tiling_decontam import leaks
 
 
@@ -18,10 +22,26 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op4_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_words(table(spark, sf_dir, "documents"))
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("source"))
 
@@ -40,7 +60,11 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_crf_toxicity": op1_crf_toxicity,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_kdtree_topk": op3_kdtree_topk,
     "op4_range_shards": op4_range_shards,
+    "op5_html_layout": op5_html_layout,
+    "op6_superkmer_dedup": op6_superkmer_dedup,
     "op7_pivotal_mix": op7_pivotal_mix,
     "op8_nbsvm_quality": op8_nbsvm_quality,
     "op9_tiling_decontam": op9_tiling_decontam,

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary, polynomial, ragged, saved, text_chunks
+from .common import WordHashes, binary, mapped, polynomial, ragged, saved, text_chunks
 
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 TILE = 5
@@ -162,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
     out = spark.createDataFrame([], schema)
     found = []
     for block in blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), block_bytes):
-        found.append(rows.mapInArrow(finder(Index(block, 3), 3, coverage), schema))
+        found.append(mapped(rows, finder(Index(block, 3), 3, coverage), schema))
     for one in found:
         out = one if len(found) == 1 else out.union(saved(one))
     return out.withColumn("coverage", F.col("covered") / F.col("n_words"))
@@ -183,5 +183,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
                     bad[hits.column(0).to_numpy()] = True
                 yield batch.filter(pa.array(~bad))
 
-        docs = docs.select(names).mapInArrow(keep, docs.schema)
+        docs = mapped(docs.select(names), keep, docs.schema)
     return docs

@@ -167,3 +167,83 @@ def test_every_operator_is_registered():
 
 def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def windows_by_force(texts, k=35):
+    split = [WORD.findall(t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + k]) for w in split for i in range(len(w) - k + 1))
+    out = []
+    for w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - k + 1):
+            if seen[tuple(w[i : i + k])] > 1:
+                gone[i : i + k] = [True] * k
+        out.append((len(w), sum(gone), digest(" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
+    return out
+
+
+def test_substring_dedup(spark, docs):
+    out = result(spark, "op6_superkmer_dedup").set_index("doc_id")
+    for i, want in zip(docs.doc_id, windows_by_force(docs.text), strict=True):
+        assert (out.n_words[i], out.n_removed[i], out.kept_sha256[i]) == want
+    assert out.n_removed.sum() > 0
+
+
+PATTERNS = [
+    (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+    (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def base_spans(text):
+    return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(PATTERNS) for m in p.finditer(text or "") if ok(m))
+
+
+def check_secrets(out, texts):
+    names = ("assign", "access", "hex", "random")
+    for i, t in texts.items():
+        spans = base_spans(t)
+        text = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        assert [out.n_assign[i], out.n_access[i], out.n_hex[i]] == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert out.base_sha256[i] == digest(text)
+        every = out.spans[i].split(",") if out.spans[i] else []
+        assert [s for s in every if not s.startswith("random")] == (text.split(",") if text else [])
+        assert every == sorted(every, key=lambda s: (int(s.split(":")[1]), names.index(s.split(":")[0])))
+
+
+def test_secrets(spark, docs):
+    out = result(spark, "op2_secret_scan").set_index("doc_id")
+    check_secrets(out, dict(zip(docs.doc_id, docs.text, strict=True)))
+    assert out.n_assign.sum() > 0 and out.n_hex.sum() > 0
+
+
+def products_by_force(ids, vectors, every=20, k=20):
+    import math
+
+    rows = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in zip(ids, vectors, strict=True)]
+    out = []
+    for n, (i, q) in enumerate(rows):
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for m, (j, v) in enumerate(rows) if m != n)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    return sorted(out)
+
+
+def test_top_products(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    out = result(spark, "op3_kdtree_topk")
+    got = sorted(out[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None))
+    assert got == products_by_force(rows.vec_id, rows.embedding)
+
+
+def test_pages(spark):
+    out = result(spark, "op5_html_layout").set_index("page_id").text
+    pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()
+    assert sorted(out.index) == sorted(pages.page_id)
+    for i, page in zip(pages.page_id, pages.html, strict=True):
+        shown = re.sub(r"(?is)<!--.*?-->|<head>.*?</head>|<(script|style)\b.*?</\1>", " ", page)
+        import html
+
+        words = html.unescape(re.sub(r"<[^>]*>", " ", shown)).split()
+        assert [w for w in out[i].split() if w not in ("-", "|")] == [w for w in words if w not in ("-", "|")]
