@@ -53,7 +53,7 @@ def mapped(df: DataFrame, function, schema) -> DataFrame:
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = str(conf.get(key, "0"))
+        now = conf.get(key).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, most)
     return df.mapInArrow(function, schema)

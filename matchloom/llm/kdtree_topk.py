@@ -47,7 +47,10 @@ def whole(rows: list) -> np.ndarray:
 class Tree:
     """Nodes of a KD-tree over the rows of a matrix, and the rows in the order of its leaves."""
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray | None, parts: tuple = ()):
+        if parts:
+            self.low, self.high, self.span, self.child = parts
+            return
         self.order = np.arange(len(rows))
         low, high, self.span, self.child = [], [], [], []
         open_ = [(0, len(rows), -1)]
@@ -73,6 +76,9 @@ class Tree:
             open_ += [(a, a + mid, node), (a + mid, b, node)]
         self.low, self.high = np.array(low), np.array(high)
 
+    def parts(self) -> tuple:
+        return self.low, self.high, self.span, self.child
+
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Largest inner product of each query with any point of each node's box."""
         up, down = np.where(queries > 0, queries, 0), np.where(queries > 0, 0, queries)
@@ -116,7 +122,7 @@ def build(part: pa.Table) -> pa.Table:
     """A shard's rows to its tree, packed."""
     rows = whole(part["embedding"].to_pylist())
     tree = Tree(rows)
-    packed = pickle.dumps((tree, rows[tree.order], part["vec_id"].to_numpy()[tree.order], part["uid"].to_numpy()[tree.order]))
+    packed = pickle.dumps((tree.parts(), rows[tree.order], part["vec_id"].to_numpy()[tree.order], part["uid"].to_numpy()[tree.order]))
     return pa.table({"dim": part["dim"][:1], "shard": part["shard"][:1], "tree": pa.array([packed], pa.binary())})
 
 
@@ -136,7 +142,8 @@ def walker(k: int):
         for part in batches:
             for r in part.to_pylist():
                 queries, qids, quids = pickle.loads(r["queries"])
-                tree, rows, ids, uids = pickle.loads(r["tree"])
+                parts, rows, ids, uids = pickle.loads(r["tree"])
+                tree = Tree(None, parts)
                 known = {x["quid"]: int(x["least"]) for x in r["known"] or []}
                 if queries.dtype != rows.dtype:
                     queries, rows = queries.astype(object), rows.astype(object)
