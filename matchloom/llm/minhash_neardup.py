@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     rows = saved(near_duplicates(docs).select("doc_id", "n_shingles", "label"))
-    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # Written first: so the join meets two plain exchanges and can split the rows of a large component.
+    least = saved(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "label", "left").select(
         "doc_id",
         "n_shingles",

@@ -7,7 +7,10 @@ together, as one packed string of their words, to the bucket of the minimiser;
 equal windows have equal minimisers, so they meet there. Each distinct packed
 string comes once, with the number of its copies, so a passage that a third of
 all documents share is added up before it is sent. In the bucket, windows are
-sorted by a hash, and neighbours are compared word for word.
+sorted by a hash, and neighbours are compared word for word. A bucket of more
+than ``LARGE`` distinct strings (the ends of a common passage, with what follows
+it in every document) is dealt out further: its windows go on alone, each to
+its equals.
 
 Most minimisers occur once, and their windows cannot repeat. So minimisers are
 counted first, and a filter of fixed size (``FILTER_BITS`` bits, 8 MB) that
@@ -40,6 +43,7 @@ WINDOW = 35
 MINIMISER = 8
 FILTER_BITS = 1 << 26
 PROBES = 4
+LARGE = 512
 
 
 def runs(flat: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,6 +221,27 @@ def counter(window: int, most: int = 4 << 20):
     return count
 
 
+def single(window: int):
+    """A function for mapInArrow from (h, p, packed, copies) to the windows of each string (h, p, place, words, copies)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows, places_, out = [], [], []
+            for i, packed in enumerate(part.column(2).to_pylist()):
+                words = packed.split()
+                n = len(words) - window + 1
+                rows += [i] * n
+                places_ += range(n)
+                out += [b" ".join(words[a : a + window]) for a in range(n)]
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(take), part.column(1).take(take), pa.array(places_, pa.int32()), pa.array(out, pa.binary()), part.column(3).take(take)],
+                ["h", "p", "place", "words", "copies"],
+            )
+
+    return split
+
+
 def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) to the words kept and removed."""
     for part, texts in text_chunks(batches):
@@ -247,7 +272,7 @@ def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, large: int = LARGE) -> DataFrame:
     """__k1, __k2 and spans (lists of word positions, start and end in turn) of the rows with repeated windows."""
     spark = docs.sparkSession
     keyed = docs.select(*row_key(), "text")
@@ -259,9 +284,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     filter_of = spark.sparkContext.broadcast(filled)
     sent = saved(mapped(keyed, packer(window, filter_of), "__k1 long, __k2 long, first int, h long, packed binary"))
     distinct = sent.groupBy("h", "packed").agg(F.count("*").alias("copies"))
-    buckets = distinct.repartition("h").sortWithinPartitions("h").select("h", "packed", "copies")
-    found = mapped(buckets, counter(window), "h long, packed binary, spans array<int>")
-    found = saved(found.select("h", F.xxhash64("packed").alias("p"), "spans"))
+    crowded = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > large).select("h", F.lit(True).alias("crowded"))
+    marked = distinct.join(crowded, "h", "left")
+    buckets = marked.where("crowded is null").repartition("h").sortWithinPartitions("h").select("h", "packed", "copies")
+    few = mapped(buckets, counter(window), "h long, packed binary, spans array<int>").select("h", F.xxhash64("packed").alias("p"), "spans")
+    alone = mapped(
+        marked.where("crowded").select("h", F.xxhash64("packed").alias("p"), "packed", "copies"),
+        single(window),
+        "h long, p long, place int, words binary, copies long",
+    )
+    twice = saved(alone.groupBy("words").agg(F.sum("copies").alias("n")).where("n > 1").select("words"))
+    many = alone.join(twice, "words", "left_semi").groupBy("h", "p").agg(F.flatten(F.collect_list(F.array("place", F.col("place") + window))).alias("spans"))
+    found = saved(few.union(many))
     return (
         sent.select("__k1", "__k2", "first", "h", F.xxhash64("packed").alias("p"))
         .join(found, ["h", "p"])
