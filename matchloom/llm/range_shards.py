@@ -7,8 +7,11 @@ rows' sizes, gives the quantile boundaries of many small ranges. Every range is
 then weighed on all rows; one that holds over twice its share is sampled again
 and subdivided. Running sums inside the ranges, on top of the sums of the
 ranges before, place every row exactly: shard i takes the rows whose middle
-byte lies in the i-th part of all bytes. So two shards differ by about one
-row's size (law ``bytes``), and slots count the rows of a shard in key order.
+byte lies in the i-th part of all bytes. Rows of equal texts are placed by the
+middle byte of them all and so stay together, unless they hold more than
+``GROUP`` of a shard; then they are cut like other rows. So two shards differ
+by a few hundredths at most, or one row's size (law ``bytes``), and slots count
+the rows of a shard in key order.
 
 Nulls: a null text has no bytes (checksum 0); a null id is kept. Rows that
 repeat are rows of their own. An empty table gives an empty result. Columns of
@@ -31,6 +34,10 @@ SHARDS = 8
 RANGE_ROWS, RANGES, DRAWS = 2000, (64, 8192), 16
 #: A range of more than this many times its share is subdivided.
 OVERFULL = 2.0
+#: Largest share of a shard that rows of equal texts hold and still are kept together.
+GROUP = 0.02
+#: Bits of a key that do not come from the text.
+LOW = 31
 
 
 def size_of(text: str = "text") -> Column:
@@ -42,7 +49,7 @@ def checksum(text: str = "text") -> Column:
 
 
 def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
-    return F.shiftleft(checksum(text), 31).bitwiseOR(F.xxhash64(F.col(doc_id).cast("long"), F.lit(17)).bitwiseAND(F.lit((1 << 31) - 1)))
+    return F.shiftleft(checksum(text), LOW).bitwiseOR(F.xxhash64(F.col(doc_id).cast("long"), F.lit(17)).bitwiseAND(F.lit((1 << LOW) - 1)))
 
 
 def quantiles(keys: np.ndarray, weights: np.ndarray, parts: int) -> list[int]:
@@ -78,7 +85,8 @@ def splitters(slim: DataFrame, rows: int, total: int) -> tuple[list[int], dict[i
         return np.array([r["key"] for r in got], np.int64), np.array([r["w"] for r in got])
 
     keys, weights = draw(slim, 0, share / DRAWS)
-    bounds = sorted(set(quantiles(keys, weights, ranges)))
+    # Ranges end where a checksum ends, as long as they are not overfull.
+    bounds = sorted({k | ((1 << LOW) - 1) for k in quantiles(keys, weights, ranges)})
     turn = 0
     while True:
         placed = slim.withColumn("range", place(bounds)("key"))
@@ -117,15 +125,21 @@ def shards(docs: DataFrame, carry: list[str], count: int = SHARDS) -> DataFrame:
 
     def ranked(of: DataFrame) -> DataFrame:
         own = Window.partitionBy("range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
+        alike = Window.partitionBy("range", F.shiftright("key", LOW))
+        whole = F.col("__alike") <= GROUP * total / count
+        middle = F.col("__bytes") + F.when(whole, F.col("__from")).otherwise(F.col("__at"))
+        extent = F.when(whole, F.col("__alike")).otherwise(F.col("size"))
         return (
             of.withColumn("range", place(bounds)("key"))
             .withColumn("__at", F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .withColumn("__nth", F.row_number().over(own))
+            .withColumn("__from", F.min("__at").over(alike))
+            .withColumn("__alike", F.sum("size").over(alike))
             .join(F.broadcast(starts), "range")
             .withColumn("__rank", F.col("__rows") + F.col("__nth") - 1)
             .withColumn(
                 "shard",
-                F.least(F.floor((2 * (F.col("__bytes") + F.col("__at")) + F.col("size")) * count / F.lit(2 * max(total, 1))), F.lit(count - 1)).cast("int"),
+                F.least(F.floor((2 * middle + extent) * count / F.lit(2 * max(total, 1))), F.lit(count - 1)).cast("int"),
             )
         )
 

@@ -224,6 +224,14 @@ def test_shards_of_one_hot_text(spark):
     assert len(per) == 8 and per.max() - per.min() <= 2 * out["size"].max()
 
 
+def test_shards_keep_equal_texts_together(spark):
+    rows = [(i, f"text number {i // 3} " + "x" * (i // 3 % 50), "en", "s") for i in range(6000)]
+    out = range_shards.shard_rows(frame(spark, rows)).toPandas()
+    per = out.groupby("shard")["size"].sum()
+    assert len(per) == 8 and per.max() - per.min() <= 0.03 * per.mean()
+    assert out.groupby("text_crc32").shard.nunique().max() == 1
+
+
 @pytest.mark.parametrize(("module", "call"), [(nbsvm_quality, "quality_scores"), (crf_toxicity, "toxicity")])
 def test_classifiers(docs, empty, labels, module, call):
     out = getattr(module, call)(docs, labels).toPandas()
