@@ -33,6 +33,16 @@ def mined(pairs: DataFrame, keep: int = 20) -> DataFrame:
     return ranked.where((F.col("split") == "val") | (F.col("label") == 1) | (F.col("nth") <= keep)).drop("nth")
 
 
+def batch_statistics(pairs: DataFrame, keep: int = 20) -> DataFrame:
+    """Per country and split: candidates, those that mining keeps, positives and queries. Needs label, split and country."""
+    order = Window.partitionBy("q_id", "label").orderBy(F.round(hardness(pairs), 6).desc(), "c_id")
+    ranked = pairs.withColumn("nth", F.row_number().over(order))
+    stays = (F.col("split") == "val") | (F.col("label") == 1) | (F.col("nth") <= keep)
+    return ranked.groupBy("country", "split").agg(
+        F.count("*").alias("candidates"), F.count_if(stays).alias("kept"), F.sum("label").alias("positives"), F.countDistinct("q_id").alias("queries")
+    )
+
+
 def recall(entities: DataFrame, truth: DataFrame, candidates: DataFrame, ks: tuple[int, ...] = ()) -> DataFrame:
     """Per K (of the candidates' rank; -1: all): links, links found, recall, candidates per entity, entities found in full, in part and not at all."""
     grid = F.explode(F.array(*[F.lit(k) for k in (*ks, -1)])).alias("k")

@@ -88,9 +88,9 @@ def rarest_keys(query_keys: DataFrame, target_keys: DataFrame, k: int = 3) -> Da
     return found.where(F.col("nth") <= k).select("id", "country", "key", "df", "nth")
 
 
-def routed_pairs(queries: DataFrame, targets: DataFrame, kind: str, k: int = 3) -> DataFrame:
+def routed_pairs(queries: DataFrame, targets: DataFrame, kind: str, k: int = 3, target_keys: DataFrame | None = None) -> DataFrame:
     """Pairs that share one of the query's rarest keys."""
-    target_keys = keys(targets, kind)
+    target_keys = keys(targets, kind) if target_keys is None else target_keys
     chosen = rarest_keys(keys(queries, kind), target_keys, k)
     return (
         chosen.select(F.col("id").alias("q_id"), "country", "key")
@@ -100,15 +100,29 @@ def routed_pairs(queries: DataFrame, targets: DataFrame, kind: str, k: int = 3)
     )
 
 
-def routed_top_k(queries: DataFrame, targets: DataFrame, kind: str, grams: tuple[int, int], k: int = 20, rarest: int = 3) -> DataFrame:
-    """Cosine search among routed pairs only.
+def routed_top_k(
+    queries: DataFrame,
+    targets: DataFrame,
+    kind: str,
+    grams: tuple[int, int],
+    k: int = 20,
+    rarest: int = 3,
+    target_keys: DataFrame | None = None,
+    target_grams: DataFrame | None = None,
+) -> DataFrame:
+    """Cosine search among routed pairs only. Keys and weights of the targets may be given, from an index.
 
-    The weights of each side travel once per pair as arrays; the product is
-    taken on the shared grams of the pair, so frequent grams cost nothing extra.
+    The weights of each side travel once per pair as a map; the product is taken
+    on the shared grams of the pair, so frequent grams cost nothing extra.
     """
-    pairs = routed_pairs(queries, targets, kind, rarest)
-    packed = lambda rows, id_, w: gram_weights(rows, kind, grams).groupBy(F.col("id").alias(id_)).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(w))
-    both = pairs.join(packed(queries, "q_id", "qw"), "q_id").join(packed(targets, "c_id", "cw"), "c_id")
+    pairs = routed_pairs(queries, targets, kind, rarest, target_keys)
+
+    def packed(weights: DataFrame, id_: str, w: str) -> DataFrame:
+        return weights.groupBy(F.col("id").alias(id_)).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(w))
+
+    q = packed(gram_weights(queries, kind, grams), "q_id", "qw")
+    c = packed(gram_weights(targets, kind, grams) if target_grams is None else target_grams, "c_id", "cw")
+    both = pairs.join(q, "q_id").join(c, "c_id")
     shared = F.array_intersect(F.map_keys("qw"), F.map_keys("cw"))
     product = F.aggregate(F.array_sort(shared), F.lit(0.0), lambda s, g: s + F.element_at("qw", g) * F.element_at("cw", g))
     scored = both.select("q_id", "c_id", F.round(product, DIGITS).alias("score")).where("score > 0")
@@ -145,6 +159,7 @@ def structured_top_k(
     number_df: int = 1000,
     stop: tuple[str, ...] = T.STOP,
     least: int = 2,
+    posted: DataFrame | None = None,
 ) -> DataFrame:
     """Search by shared address tokens and numbers; candidates share a key no more frequent than its cap.
 
@@ -153,7 +168,7 @@ def structured_top_k(
     are those among the queries, and the bonuses are larger. Numbers weigh 2.5 times as much. Bonuses: 2 for a token
     and a number, 2 for two numbers, 1 for two tokens.
     """
-    qp, cp = postings(queries, stop, least), postings(targets, stop, least)
+    qp, cp = postings(queries, stop, least), postings(targets, stop, least) if posted is None else posted
     counted = qp if form == "queries" else cp
     df = frequencies(counted)
     sizes = (queries if form == "queries" else targets).groupBy("country").agg(F.count("*").alias("total"))
@@ -268,15 +283,12 @@ def merge_channels(channels: dict[str, DataFrame]) -> DataFrame:
     return whole.groupBy("q_id", "c_id").agg(*[F.max(c).alias(c) for c in names])
 
 
-def hybrid(queries: DataFrame, targets: DataFrame, k: int = 20, pool: int = 100, structured: int = 25) -> DataFrame:
-    """Routed searches by name and address, and the structured search with reranking, merged."""
-    return merge_channels(
-        {
-            "name": routed_top_k(queries, targets, "name", NAME_GRAMS, k),
-            "address": routed_top_k(queries, targets, "address", ADDRESS_GRAMS, k),
-            "structured": rerank(structured_top_k(queries, targets, pool), queries, targets, structured),
-        }
-    )
+def merge_merged(*tables: DataFrame) -> DataFrame:
+    """Merged candidates of several calls, merged once more."""
+    whole = tables[0]
+    for part in tables[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("q_id", "c_id").agg(*[F.max(c).alias(c) for c in whole.columns if c not in ("q_id", "c_id")])
 
 
 def merge_top_k(old: DataFrame, new: DataFrame, k: int) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, learning, relational, retrieval
+from ..operators import blockers, evaluation, learning, relational
 from ..operators.features import feature_names, pair_features, registry
 
 
 def candidates(left: DataFrame, right: DataFrame, k: int = 20) -> DataFrame:
     """Candidates of all channels for source records of both sides."""
-    return retrieval.hybrid(registry(left), registry(right), k)
+    return blockers.hybrid(registry(left), registry(right), k)
 
 
 def training_table(left: DataFrame, right: DataFrame, truth: DataFrame, k: int = 20, negatives: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.fuzzy import lexical_similarity, ratio, token_set_ratio, token_sort_ratio
 from ..functions.translit import transliterate
 from ..operators import evaluation as E
-from ..operators import features, learning, relational, retrieval
+from ..operators import blockers, features, learning, relational, retrieval
 from . import linkage
 from . import oracle as O
 from .tables import customers, sides, suppliers, table, truth, truth_lists
@@ -371,7 +371,32 @@ def merged_candidates(spark, sf):
 
 @query()
 def hybrid_candidates(spark, sf):
-    return retrieval.hybrid(*sides(spark, sf))
+    return blockers.hybrid(*sides(spark, sf))
+
+
+FULL = f"""{O.SIDES}, {O.weights("nq", "s1", "name", 3, 4)}, {O.weights("nc", "s2", "name", 3, 4)}, {O.cosine("ns", "nq", "nc")}, {O.ranked("nm", "ns", 20)},
+{O.weights("aq", "s1", "address", 3, 5)}, {O.weights("ac", "s2", "address", 3, 5)}, {O.cosine("as_", "aq", "ac")}, {O.ranked("ad", "as_", 20)}"""
+
+
+def channels_sql(structured: str) -> str:
+    return f"""select q_id, c_id, max(fn)::int from_name_blocker, max(fa)::int from_address_blocker, max(fs)::int from_structured_blocker, 0 from_embedding_blocker,
+ max(sn)::double name_retrieval_score, max(sa)::double address_retrieval_score, max(ss)::double structured_retrieval_score, 0 embedding_rank from (
+ select q_id, c_id, 1 fn, 0 fa, 0 fs, score sn, 0.0 sa, 0.0 ss from nm union all select q_id, c_id, 0, 1, 0, 0, score, 0 from ad{structured}) group by q_id, c_id"""
+
+
+@query(f"with {FULL} {channels_sql('')}")
+def full_text_candidates(spark, sf):
+    return blockers.full_text(*sides(spark, sf))
+
+
+@query(f"with {FULL}, {O.structured('st', 25, 'plain', stop=T.STOP_FOLD, least=1)} {channels_sql(' union all select q_id, c_id, 0, 0, 1, 0, 0, score from st')}")
+def folded_candidates(spark, sf):
+    return blockers.folded(*sides(spark, sf))
+
+
+@query()
+def country_candidates(spark, sf):
+    return blockers.country(*sides(spark, sf))
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -471,6 +496,17 @@ def recall_by_k(spark, sf):
     return E.recall(entities(spark, sf), truth(spark, sf), rows, (5, 10, 20))
 
 
+@query(
+    f"""with {MERGED}, {LABELLED}, h as (select *, {HARD} hardness, case when {O.fraction("q_id")} < 0.2 then 'val' else 'train' end split from labelled),
+r as (select *, row_number() over (partition by q_id, label order by round(hardness, 6) desc, c_id) nth from h)
+select country, r.split, count(*) candidates, count(*) filter (r.split = 'val' or label = 1 or nth <= 5) kept, sum(label)::bigint positives, count(distinct q_id) queries from r join s1 on s1.id = q_id group by all"""
+)
+def batch_statistics(spark, sf):
+    left, _ = sides(spark, sf)
+    pairs = E.labelled(merged(spark, sf), truth(spark, sf)).withColumn("split", T.split_name("q_id"))
+    return E.batch_statistics(pairs.join(left.select(F.col("id").alias("q_id"), "country"), "q_id"), 5)
+
+
 @query(
     f"""with {MERGED}, p as (select s1.id, count(c_id) n from s1 left join merged on q_id = s1.id group by 1)
 select sum(n)::bigint candidates, round(avg(n), 6) mean, round(quantile_cont(n, 0.5), 6) p50, round(quantile_cont(n, 0.95), 6) p95, round(quantile_cont(n, 0.99), 6) p99, max(n) most, count(*) filter (n = 0) "without" from p"""

@@ -83,22 +83,3 @@ def unfinished(keys: DataFrame, spark: SparkSession, path: str, by: list[str]) -
 def write_json(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
-
-def build_index(targets: DataFrame, path: str) -> None:
-    """Postings, document frequencies, gram weights and the records themselves, as Parquet by country and kind.
-
-    ``targets``: id, country, name, address, raw_name.
-    """
-    from ..operators import retrieval as R
-
-    posted = R.postings(targets)
-    write_parquet(posted, f"{path}/postings", ("country", "kind"))
-    write_parquet(R.frequencies(posted), f"{path}/frequencies", ("country", "kind"))
-    routes = None
-    for kind in ("name", "address"):
-        keys = R.keys(targets, kind).withColumn("kind", F.lit(kind))
-        routes = keys if routes is None else routes.union(keys)
-        grams = R.NAME_GRAMS if kind == "name" else R.ADDRESS_GRAMS
-        write_parquet(R.gram_weights(targets, kind, grams), f"{path}/{kind}_grams", ("country",))
-    write_parquet(routes, f"{path}/routes", ("country", "kind"))
-    write_parquet(targets, f"{path}/records", ("country",))

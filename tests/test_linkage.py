@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as T
 from matchloom.functions.fuzzy import plain_ratio
 from matchloom.operators import evaluation as E
-from matchloom.operators import features, learning, relational, retrieval
+from matchloom.operators import blockers, features, learning, relational, retrieval
 from matchloom.plans import linkage, tables
 from matchloom.sources import io
 from matchloom.streaming.topk import TopKTable, stateful_top_k
@@ -67,7 +67,7 @@ def test_features(spark, both):
 
 
 def test_matches_stay_in_their_country(both):
-    for rows in (retrieval.exact_pairs(*both), retrieval.hybrid(*both)):
+    for rows in (retrieval.exact_pairs(*both), blockers.hybrid(*both)):
         country = {i: c for i, *_, c in [*S1, *S2]}
         assert all(country[r.q_id] == country[r.c_id] for r in rows.collect())
 
@@ -237,12 +237,16 @@ def test_resume(spark, tmp_path, left):
 
 
 def test_index(spark, tmp_path, both):
-    io.build_index(both[1], f"{tmp_path}/index")
-    got = spark.read.parquet(f"{tmp_path}/index/frequencies")
-    assert {(r.country, r.kind, r.key): r.df for r in got.collect()}["India", "token", "lake"] == 1
-    assert spark.read.parquet(f"{tmp_path}/index/records").count() == 4
-    pruned = spark.read.parquet(f"{tmp_path}/index/postings").where("country = 'US' and kind = 'number'")
-    assert [r.key for r in pruned.collect()] == ["12"]
+    left, right = both
+    blockers.Index.of(right).write(f"{tmp_path}/index")
+    index = blockers.Index.read(spark, f"{tmp_path}/index")
+    assert index.records.count() == 4
+    assert [r.key for r in index.postings.where("country = 'US' and kind = 'number'").collect()] == ["12"]
+    for blocker in (blockers.full_text, blockers.routed, blockers.hybrid, blockers.country, blockers.folded):
+        direct, stored = (sorted(map(tuple, blocker(left, x).collect())) for x in (right, index))
+        assert direct and direct == stored
+    plan = index.postings.where("country = 'US'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "US" in plan.split("PartitionFilters: [")[1][:200]
 
 
 def stream_pairs():
