@@ -7,16 +7,16 @@ together, as one packed string of their words, to the bucket of the minimiser;
 equal windows have equal minimisers, so they meet there. Each distinct packed
 string comes once, with the number of its copies, so a passage that a third of
 all documents share is added up before it is sent. In the bucket, windows are
-sorted by a hash, and neighbours are compared word for word. A bucket of more
-than ``LARGE`` distinct strings (the ends of a common passage, with what follows
-it in every document) is dealt out further: its windows go on alone, each to
-its equals.
+sorted by a hash, and neighbours are compared word for word.
 
 Most minimisers occur once, and their windows cannot repeat. So minimisers are
 counted first, and a filter of fixed size (``FILTER_BITS`` bits, 8 MB) that
 holds all repeated ones goes to the workers; only super-k-mers it lets through
 are packed and sent. A filter that fills up lets more through; the result stays
-the same.
+the same. A second small filter holds the minimisers of more than ``LARGE``
+super-k-mers (the ends of a common passage, with what follows it in every
+document). Their buckets would grow with the corpus, so their windows go on
+alone, each to its equals.
 
 Windows are judged on the input. Every word under a repeated window is
 removed, the first copy included.
@@ -43,7 +43,8 @@ WINDOW = 35
 MINIMISER = 8
 FILTER_BITS = 1 << 26
 PROBES = 4
-LARGE = 512
+#: Super-k-mers of a minimiser from which on its bucket is dealt out, and the bits of the filter of such minimisers.
+LARGE, LARGE_BITS = 16384, 1 << 22
 
 
 def runs(flat: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,33 +93,49 @@ def minimisers(window: int):
     return find
 
 
-def probes(h: np.ndarray) -> np.ndarray:
-    """Places of the filter that stand for each hash, one row per probe."""
+def probes(h: np.ndarray, bits: int) -> np.ndarray:
+    """Places of a filter that stand for each hash, one row per probe."""
     a, b = mix(h ^ np.uint64(0xA0761D6478BD642F)), mix(h ^ np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(FILTER_BITS) for i in range(PROBES)])
+    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(PROBES)])
 
 
-def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h) to (word of the filter, its bits)."""
-    for part in batches:
-        at = np.unique(probes(part.column(0).to_numpy().view(np.uint64)))
-        word, bit = at >> np.uint64(6), np.left_shift(np.uint64(1), at & np.uint64(63))
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-        bits = np.bitwise_or.reduceat(bit, first) if len(word) else bit
-        yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+def held(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a filter may hold."""
+    at = probes(h, len(filled) << 6)
+    return ((filled[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
 
 
-def packer(window: int, filter_of):
+def places(large: int):
+    """A function for mapInArrow from (h, c) to (which filter, word of it, its bits)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            h, c = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
+            for which, some, size in ((0, h, FILTER_BITS), (1, h[c > large], LARGE_BITS)):
+                at = np.unique(probes(some, size))
+                if not len(at):
+                    continue
+                word, bit = at >> np.uint64(6), np.left_shift(np.uint64(1), at & np.uint64(63))
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                bits = np.bitwise_or.reduceat(bit, first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), which, np.int32)), pa.array(word[first].astype(np.int64)), pa.array(bits.view(np.int64))],
+                    ["which", "word", "bits"],
+                )
+
+    return find
+
+
+def packer(window: int, filters):
     """A function for mapInArrow from (__k1, __k2, text) to packed super-k-mers that may hold repeated windows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, filled = WordHashes(2), filter_of.value
+        words, (filled, large) = WordHashes(2), filters.value
         for part, texts in text_chunks(batches):
             split = [t.split() for t in texts]
             lengths = np.array([len(w) for w in split], np.int64)
             doc, first, size, h = runs(words.of([x for w in split for x in w]), lengths, window)
-            at = probes(h)
-            maybe = ((filled[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+            maybe = held(filled, h)
             doc, first, size, h = doc[maybe], first[maybe], size[maybe], h[maybe]
             packed = [
                 b" ".join(split[d][a : a + n + window - 1]) for d, a, n in zip(doc.tolist(), first.tolist(), size.tolist(), strict=True)
@@ -131,8 +148,9 @@ def packer(window: int, filter_of):
                     pa.array(first.astype(np.int32)),
                     pa.array(h.view(np.int64)),
                     pa.array(packed, pa.binary()),
+                    pa.array(held(large, h)),
                 ],
-                ["__k1", "__k2", "first", "h", "packed"],
+                ["__k1", "__k2", "first", "h", "packed", "crowded"],
             )
 
     return pack
@@ -276,20 +294,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, large: int = LARGE) ->
     """__k1, __k2 and spans (lists of word positions, start and end in turn) of the rows with repeated windows."""
     spark = docs.sparkSession
     keyed = docs.select(*row_key(), "text")
-    counts = mapped(keyed.select("text"), minimisers(window), "h long").groupBy("h").agg(F.count("*").alias("c"))
-    bits = mapped(counts.where("c > 1").select("h"), places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    filled = np.zeros(FILTER_BITS >> 6, np.uint64)
-    for part in bits.toArrow().to_batches():  # 2**20 rows at most, whatever the corpus
-        filled[part.column(0).to_numpy()] = part.column(1).to_numpy().view(np.uint64)
-    filter_of = spark.sparkContext.broadcast(filled)
-    sent = saved(mapped(keyed, packer(window, filter_of), "__k1 long, __k2 long, first int, h long, packed binary"))
-    distinct = sent.groupBy("h", "packed").agg(F.count("*").alias("copies"))
-    crowded = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > large).select("h", F.lit(True).alias("crowded"))
-    marked = distinct.join(crowded, "h", "left")
-    buckets = marked.where("crowded is null").repartition("h").sortWithinPartitions("h").select("h", "packed", "copies")
+    counts = mapped(keyed.select("text"), minimisers(window), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    bits = mapped(counts, places(large), "which int, word long, bits long").groupBy("which", "word").agg(F.bit_or("bits").alias("bits"))
+    filters = np.zeros(FILTER_BITS >> 6, np.uint64), np.zeros(LARGE_BITS >> 6, np.uint64)
+    for part in bits.toArrow().to_batches():  # 2**20 + 2**16 rows at most, whatever the corpus
+        which, word, value = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_numpy().view(np.uint64)
+        for i in (0, 1):
+            filters[i][word[which == i]] = value[which == i]
+    schema = "__k1 long, __k2 long, first int, h long, packed binary, crowded boolean"
+    sent = saved(mapped(keyed, packer(window, spark.sparkContext.broadcast(filters)), schema))
+
+    def distinct(of: str) -> DataFrame:
+        return sent.where(of).groupBy("h", "packed").agg(F.count("*").alias("copies"))
+
+    buckets = distinct("not crowded").repartition("h").sortWithinPartitions("h").select("h", "packed", "copies")
     few = mapped(buckets, counter(window), "h long, packed binary, spans array<int>").select("h", F.xxhash64("packed").alias("p"), "spans")
     alone = mapped(
-        marked.where("crowded").select("h", F.xxhash64("packed").alias("p"), "packed", "copies"),
+        distinct("crowded").select("h", F.xxhash64("packed").alias("p"), "packed", "copies"),
         single(window),
         "h long, p long, place int, words binary, copies long",
     )
