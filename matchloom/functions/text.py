@@ -30,6 +30,11 @@ STOP_SCRIPT = (
 )
 
 
+#: First digits of the scripts whose digits count as such: ten code points each.
+ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xFF10)
+DIGITS = ("".join(chr(z + d) for z in ZEROS for d in range(10)), "0123456789" * len(ZEROS))
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -109,9 +114,14 @@ def boundary_grams(norm: Column | str, low: int, high: int) -> Column:
     return F.flatten(F.transform(tokens(norm), of))
 
 
+def ascii_digits(norm: Column | str) -> Column:
+    """The string with the digits of other scripts as 0 to 9."""
+    return F.translate(text(norm), *DIGITS)
+
+
 def ordered_numbers(norm: Column | str) -> Column:
     """Runs of digits in order, without leading zeros."""
-    found = F.regexp_extract_all(text(norm), F.lit(r"([0-9]+)"), F.lit(1))
+    found = F.regexp_extract_all(ascii_digits(norm), F.lit(r"([0-9]+)"), F.lit(1))
     return F.transform(found, canonical_number)
 
 
@@ -121,7 +131,7 @@ def numbers(norm: Column | str) -> Column:
 
 def raw_numbers(norm: Column | str) -> Column:
     """Distinct runs of digits as they are written."""
-    return F.array_distinct(F.regexp_extract_all(text(norm), F.lit(r"([0-9]+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text(norm), F.lit(r"(?U)(\d+)"), F.lit(1)))
 
 
 def canonical_number(token: Column) -> Column:
@@ -152,7 +162,7 @@ def length_ratio(a: Column, b: Column) -> Column:
 
 def address_tokens(norm: Column | str, stop: tuple[str, ...] = STOP, least: int = 2) -> Column:
     """Distinct tokens of an address that are neither stop words nor numbers, of ``least`` characters or more."""
-    return F.filter(token_set(norm), lambda t: ~t.isin(*stop) & ~t.rlike("^[0-9]+$") & (F.length(t) >= least))
+    return F.filter(token_set(ascii_digits(norm)), lambda t: ~t.isin(*stop) & ~t.rlike("^[0-9]+$") & (F.length(t) >= least))
 
 
 def contains_non_ascii(c: Column | str) -> Column:
@@ -172,7 +182,7 @@ def name_keys(norm: Column | str) -> Column:
 
 def address_keys(norm: Column | str, stop: tuple[str, ...] = STOP) -> Column:
     """Routing keys of an address: its numbers, and the beginnings of its other tokens."""
-    kept = F.filter(token_set(norm), lambda t: ~t.isin(*stop))
+    kept = F.filter(token_set(ascii_digits(norm)), lambda t: ~t.isin(*stop))
     key = lambda t: F.when(t.rlike("^[0-9]+$"), F.concat(F.lit("n:"), canonical_number(t))).otherwise(token_prefix(t))
     return F.array_distinct(F.array_compact(F.transform(kept, key)))
 
@@ -188,6 +198,11 @@ def hash_fraction(value: Column | str, seed: int = 42) -> Column:
     return F.conv(digest, 16, 10).cast("decimal(20,0)").cast("double") / F.lit(18446744073709551616.0)
 
 
+def entity_split(value: Column | str, share: float = 0.3, seed: int = 42) -> Column:
+    """train or val for the pairs of an entity, all on one side; drawn apart from ``split_name``."""
+    return split_name(F.concat(F.lit("entity:"), text(value)), share, seed)
+
+
 def split_name(value: Column | str, share: float = 0.2, seed: int = 42) -> Column:
     return F.when(hash_fraction(value, seed) < share, "val").otherwise("train")
 
