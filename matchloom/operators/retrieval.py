@@ -112,19 +112,21 @@ def routed_top_k(
 ) -> DataFrame:
     """Cosine search among routed pairs only. Keys and weights of the targets may be given, from an index.
 
-    The weights of each side travel once per pair as a map; the product is taken
-    on the shared grams of the pair, so frequent grams cost nothing extra.
+    The weights of each side travel once per pair, as arrays ordered by a 64-bit
+    hash of the gram; the product is taken on the grams that a pair shares, so
+    frequent grams cost nothing extra.
     """
     pairs = routed_pairs(queries, targets, kind, rarest, target_keys)
 
-    def packed(weights: DataFrame, id_: str, w: str) -> DataFrame:
-        return weights.groupBy(F.col("id").alias(id_)).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(w))
+    def packed(weights: DataFrame, id_: str, side: str) -> DataFrame:
+        entry = F.array_sort(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")))
+        return weights.groupBy(F.col("id").alias(id_)).agg(entry.alias("x")).select(id_, F.col("x.g").alias(f"{side}g"), F.col("x.w").alias(f"{side}w"))
 
-    q = packed(gram_weights(queries, kind, grams), "q_id", "qw")
-    c = packed(gram_weights(targets, kind, grams) if target_grams is None else target_grams, "c_id", "cw")
+    q = packed(gram_weights(queries, kind, grams), "q_id", "q")
+    c = packed(gram_weights(targets, kind, grams) if target_grams is None else target_grams, "c_id", "c")
     both = pairs.join(q, "q_id").join(c, "c_id")
-    shared = F.array_intersect(F.map_keys("qw"), F.map_keys("cw"))
-    product = F.aggregate(F.array_sort(shared), F.lit(0.0), lambda s, g: s + F.element_at("qw", g) * F.element_at("cw", g))
+    weight = lambda side, g: F.element_at(f"{side}w", F.array_position(f"{side}g", g).cast("int"))
+    product = F.aggregate(F.array_intersect("qg", "cg"), F.lit(0.0), lambda s, g: s + weight("q", g) * weight("c", g))
     scored = both.select("q_id", "c_id", F.round(product, DIGITS).alias("score")).where("score > 0")
     return top_k(scored, k)
 
@@ -214,11 +216,13 @@ def rerank(pool: DataFrame, queries: DataFrame, targets: DataFrame, k: int = 25,
     own = Window.partitionBy("q_id")
     best, least = F.max("score").over(own), F.min("score").over(own)
     level = F.col("score") / best if form != "range" else F.when(best == least, F.lit(1.0)).otherwise((F.col("score") - least) / (best - least))
-    q = queries.select(F.col("id").alias("q_id"), F.col("name").alias("q_name"), F.col("raw_name").alias("q_raw"))
-    c = targets.select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("raw_name").alias("c_raw"))
+    # Names are spelled out once per record, not once per pair.
+    latin = transliterate("raw_name") if form == "max" else F.lit("")
+    q = queries.select(F.col("id").alias("q_id"), F.col("name").alias("q_name"), latin.alias("q_latin"))
+    c = targets.select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), latin.alias("c_latin"))
     named = pool.withColumn("level", level).join(q, "q_id").join(c, "c_id")
     if form == "max":
-        names = 0.35 * ratio(transliterate("q_raw"), transliterate("c_raw")) / 100 + 0.15 * ratio("q_name", "c_name") / 100
+        names = 0.35 * ratio("q_latin", "c_latin") / 100 + 0.15 * ratio("q_name", "c_name") / 100
     else:
         names = 0.5 * lexical_similarity("q_name", "c_name")
     return top_k(named.select("q_id", "c_id", F.round(0.5 * F.col("level") + names, DIGITS).alias("score")), k)

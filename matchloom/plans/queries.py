@@ -679,7 +679,7 @@ def means_by_label(spark, sf):
 select s1.id source1_entity_id, coalesce(c.ids, '') candidate_entity_ids, coalesce(m.ids, '') matched_entity_ids from s1 left join c on c.q_id = s1.id left join m on m.q_id = s1.id"""
 )
 def submission_lists(spark, sf):
-    rows = scored(spark, sf)
+    rows = scored(spark, sf).cache()
     return linkage.id_lists(entities(spark, sf), rows.select("q_id", "c_id"), rows.where("probability >= 0.4").select("q_id", "c_id"))
 
 
