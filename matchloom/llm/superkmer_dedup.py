@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mapped, mix, polynomial, ragged, row_key, saved, text_chunks
+from .common import WordHashes, free_shuffles, mapped, mix, polynomial, ragged, row_key, saved, text_chunks
 
 WINDOW = 35
 MINIMISER = 8
@@ -317,6 +317,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, large: int = LARGE) ->
     twice = saved(alone.groupBy("words").agg(F.sum("copies").alias("n")).where("n > 1").select("words"))
     many = alone.join(twice, "words", "left_semi").groupBy("h", "p").agg(F.flatten(F.collect_list(F.array("place", F.col("place") + window))).alias("spans"))
     found = saved(few.union(many))
+    free_shuffles(spark)
     return (
         sent.select("__k1", "__k2", "first", "h", F.xxhash64("packed").alias("p"))
         .join(found, ["h", "p"])
