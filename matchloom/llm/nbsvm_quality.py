@@ -81,28 +81,59 @@ def features(texts: list[bytes], types: Types) -> tuple[np.ndarray, np.ndarray]:
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float, epochs: int, seed: int) -> np.ndarray:
-    """Weights over scaled indicators (with a constant one last) by dual coordinate descent, squared hinge loss."""
-    w = np.zeros(len(scale) + 1)
-    alpha = np.zeros(len(rows))
-    values = [np.append(scale[r], 1.0) for r in rows]
-    places = [np.append(r, len(scale)) for r in rows]
-    diagonal = np.array([v @ v for v in values]) + 0.5 / c
-    order = np.arange(len(rows))
+class Rows:
+    """The distinct features of documents, one after the other in one array, so that all of it is given back at once."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray):
+        self.flat, self.ends = flat, ends
+        self.starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+
+    @classmethod
+    def of(cls, texts: list[bytes], part: int = 200) -> Rows:
+        types, flat, sizes = Types(), [], []
+        for k in range(0, len(texts), part):
+            doc, feature = features(texts[k : k + part], types)
+            flat.append(feature.astype(np.int32))
+            sizes.append(np.bincount(doc, minlength=len(texts[k : k + part])))
+        return cls(np.concatenate(flat), np.cumsum(np.concatenate(sizes)))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i] : self.ends[i]]
+
+    def chosen(self, use: np.ndarray, known: np.ndarray) -> Rows:
+        """The rows ``use`` with the known features only."""
+        own = [self[i] for i in use]
+        flat = np.concatenate(own)
+        keep = known[flat]
+        owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        return Rows(flat[keep], np.cumsum(np.bincount(owner[keep], minlength=len(own))))
+
+
+def descend(rows: Rows, y: np.ndarray, scale: np.ndarray, c: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weights over scaled indicators and offset, by dual coordinate descent on the squared hinge loss."""
+    w, bias = np.zeros(len(scale)), 0.0
+    alpha = np.zeros(len(y))
+    values = scale[rows.flat]
+    owner = np.repeat(np.arange(len(y)), rows.ends - rows.starts)
+    diagonal = np.bincount(owner, values * values, len(y)) + 1 + 0.5 / c
+    order = np.arange(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         moved = 0.0
         for i in order:
-            g = y[i] * (w[places[i]] @ values[i]) - 1 + alpha[i] * 0.5 / c
+            at, v = rows[i], values[rows.starts[i] : rows.ends[i]]
+            g = y[i] * (w[at] @ v + bias) - 1 + alpha[i] * 0.5 / c
             new = max(alpha[i] - g / diagonal[i], 0.0)
             if new != alpha[i]:
-                w[places[i]] += (new - alpha[i]) * y[i] * values[i]
-                moved = max(moved, abs(new - alpha[i]))
+                step = (new - alpha[i]) * y[i]
+                w[at] += step * v
+                bias += step
+                moved = max(moved, abs(step))
                 alpha[i] = new
         if moved < 1e-4:
             break
-    return w
+    return w, bias
 
 
 def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int], c: float = 0.1, epochs: int = 20, min_rows: int = 3):
@@ -111,22 +142,16 @@ def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int], c: float = 0.1
     if len(set(y.tolist())) < 2:
         level = 0.5 if not len(y) else (0.05 if y[0] == 0 else 0.95)
         return np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 1.0, float(np.log(level / (1 - level)))
-    types, rows = Types(), []
-    for t, _ in sample:
-        rows.append(features([t], types)[1])
+    rows = Rows.of([t for t, _ in sample])
     sign = np.where(y > 0, 1.0, -1.0)
 
-    def learn(use: np.ndarray) -> np.ndarray:
-        counts = np.zeros((2, 1 << BITS))
-        for i in use:
-            counts[y[i], rows[i]] += 1
-        known = counts.sum(0) >= min_rows
-        n = np.array([max((y[use] == k).sum(), 1) for k in (0, 1)])
-        rate = (counts + 0.5) / (n[:, None] + 1)
-        scale = np.where(known, np.log(rate[1] / rate[0]), 0.0)
-        kept = [rows[i][scale[rows[i]] != 0] for i in use]
-        w = descend(kept, sign[use], scale, c, epochs, 7)
-        return np.append(w[:-1] * scale, w[-1])
+    def learn(use: np.ndarray) -> tuple[np.ndarray, float]:
+        counts = [np.bincount(np.concatenate([rows[i] for i in use[y[use] == k]]), minlength=1 << BITS) for k in (0, 1)]
+        n = [max((y[use] == k).sum(), 1) for k in (0, 1)]
+        rate = [(counts[k] + 0.5) / (n[k] + 1) for k in (0, 1)]
+        scale = np.where(counts[0] + counts[1] >= min_rows, np.log(rate[1] / rate[0]), 0.0)
+        w, bias = descend(rows.chosen(use, scale != 0), sign[use], scale, c, epochs, 7)
+        return w * scale, bias
 
     rng = np.random.default_rng(5)
     part = rng.permutation(len(y)) % 3
@@ -135,15 +160,15 @@ def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int], c: float = 0.1
         use = np.flatnonzero(part != k)
         if len(set(y[use].tolist())) < 2:
             continue
-        w = learn(use)
+        w, bias = learn(use)
         for i in np.flatnonzero(part == k):
-            margins[i] = w[rows[i]].sum() + w[-1]
-    w = learn(np.arange(len(y)))
+            margins[i] = w[rows[i]].sum() + bias
+    w, bias = learn(np.arange(len(y)))
     share = np.array(totals, float) / max(sum(totals), 1)
     weight = share[y] / np.array([max((y == k).sum(), 1) for k in (0, 1)])[y] * len(y)
     slope, offset = platt(margins, y.astype(float), weight)
-    used = np.flatnonzero(w[:-1])
-    return used, w[used].astype(np.float32), float(w[-1]), slope, offset
+    used = np.flatnonzero(w)
+    return used, w[used].astype(np.float32), bias, slope, offset
 
 
 def scorer(model) -> Callable:
