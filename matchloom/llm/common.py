@@ -48,11 +48,6 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let shuffle files of finished jobs go now: Spark removes them once the driver's JVM finds nothing that refers to them."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def mapped(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with batches of bounded size, as texts may be long."""
     conf = df.sparkSession.conf
