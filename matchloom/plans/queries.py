@@ -699,12 +699,13 @@ select q_id, c_id, score from s qualify row_number() over (partition by q_id ord
 def stream_top_k(spark, sf):
     """Best event types of every user, from the events as a stream cut into files' batches."""
     import tempfile
+    import uuid
 
     from ..streaming.topk import TopKTable
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-")
     events = table(spark, sf, "events")
-    base = f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(events)}"
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = f"{base}/in"
     pairs = events.select(F.col("user_id").cast("string").alias("q_id"), F.col("event_type").alias("c_id"), F.col("value").alias("score"))
     pairs.repartition(4).write.parquet(source)
