@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 #: The characters that separate words, as a regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 #: Text that is worked on at one time in a Python worker, in bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows and bytes that Spark hands a Python worker at one time, at most.
-BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 #: Stands for a null doc_id where rows are matched by key.
 NO_ID = -(2**63)
 
@@ -76,11 +76,24 @@ def binary(column: pa.Array) -> pa.Array:
     return pc.fill_null(pc.cast(column, pa.large_binary()), b"")
 
 
+def give_back() -> None:
+    """Return free memory of the worker to the system; workers live on for other tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text each, and the texts as bytes."""
-    for batch in batches:
+    for number, batch in enumerate(batches):
+        if number % 8 == 7:
+            give_back()
         if not batch.num_rows:
             continue
         column = binary(batch.column(batch.schema.get_field_index(text)))
@@ -89,6 +102,7 @@ def text_chunks(
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(start, end - start), column.slice(start, end - start).to_pylist()
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,7 +119,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, each computed once; emptied when it has ``most`` entries."""
 
-    def __init__(self, seed: int = 0, most: int = 100_000):
+    def __init__(self, seed: int = 0, most: int = 50_000):
         super().__init__()
         import xxhash
 

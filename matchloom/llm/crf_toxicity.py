@@ -64,7 +64,7 @@ class Emissions(dict):
 
     def __missing__(self, word: bytes) -> tuple[float, float, float]:
         value = tuple(float(self.weights[x].sum()) for x in traits(word))
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = value
         return value

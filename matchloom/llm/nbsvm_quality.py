@@ -52,7 +52,7 @@ class Types(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = (zlib.crc32(word) & 0x3FFFFFFF) << 33 | shape(word)
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = value
         return value
