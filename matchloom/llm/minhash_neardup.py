@@ -8,8 +8,12 @@ a hash of its own number and the attempt picks (optimal densification). Four
 consecutive bins form a band. Within a band's bucket the nodes are tied to its
 smallest and largest node only (stars), so the pairs grow with the members and
 not with their square. Every edge is confirmed on the full sets. Buckets that
-still hold several components get new star centres, round after round, until a
-round confirms nothing. Components join what the links connect.
+still hold several components get new star centres for a few rounds. What pairs
+of components then still share a bucket are confirmed or excluded exactly: two
+sets that reach the threshold share a shingle among the first of both, in any
+order of the shingles, so their nodes meet by these keys, rare shingles first,
+and pairs that cannot have enough in common after the place of the key are left
+out. Components join what the links connect.
 
 At a similarity of 0.75 a pair shares none of the 32 bands with a chance of
 about 5e-6. Sets are compared through 64-bit hashes of their shingles, and
@@ -40,6 +44,10 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: 100 * intersection >= LEAST * union links two sets.
 LEAST = 75
+#: Rounds of new star centres, at most; they only spare work, as the exact step covers the rest.
+ROUNDS = 3
+#: Counters by which shingles are ordered; any order is right, a rare-first one is fast.
+CELL_BITS = 14
 
 
 def shingle_sets(texts: list[bytes], words: WordHashes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +158,62 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
+def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label, members) to how many shingles fall into each counter."""
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for part in batches:
+        value = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64)
+        total += np.bincount((value >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+    cell = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+
+
+def first_shingles(counts: np.ndarray):
+    """(node, label, members) to the shingles that a set can share first with a set no smaller than itself by the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lengths, keys, places = [], [], []
+            for x in part.column(2):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                rank = counts[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                first = x[np.lexsort((x, rank))[: len(x) * (100 - LEAST) // 100 + 1]]
+                lengths.append((len(x), len(first)))
+                keys.append(first)
+                places.append(np.arange(len(first)))
+            if not lengths:
+                continue
+            n, m = np.array(lengths, np.int64).T
+            of = np.repeat(np.arange(len(n)), m)
+            own = part.select(["node", "label"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays(
+                [own.column(0), own.column(1), pa.array(n[of]), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places))],
+                ["node", "label", "n", "shingle", "place"],
+            )
+
+    return run
+
+
+def crossing_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes (node, label, members) with different labels: all that reach the threshold, and few others.
+
+    In one order of all shingles, what two sets have in common lies at or after their first common shingle. So its
+    place leaves room for the common part that their sizes ask for; the smaller set has it in its first seventh.
+    """
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for r in mapped(nodes, cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r["cell"]] = r["n"]
+    keys = saved(mapped(nodes, first_shingles(counts), "node long, label long, n long, shingle long, place long"))
+    crossing = keys.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    keys = saved(keys.join(crossing.select("shingle"), "shingle", "left_semi"))
+    x = keys.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "place")])
+    y = keys.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "place")])
+    fit = f"""x_label <> y_label and x_n <= y_n and 100 * x_n >= {LEAST} * y_n
+        and {100 + LEAST} * least(x_n - x_place, y_n - y_place) >= {LEAST} * (x_n + y_n)"""
+    near = x.where(f"{100 + LEAST} * (x_n - x_place) >= {2 * LEAST} * x_n").join(y, "shingle").where(fit)
+    return near.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row's key (__k1, __k2), doc_id, n_shingles and label: rows of one label are near-duplicates; null: of none."""
     keyed = docs.select(*row_key(), "text")
@@ -186,15 +250,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = saved(edges("low", inside).union(edges("high", inside)).distinct())
     links = saved(linked(tried))
     labels = connected_components(links)
-    turn = 0
-    while True:
-        # Buckets that hold more than one component get a centre they did not have; it meets the other components.
-        turn += 1
-        marked = inside.select("bucket", "node").join(labels, "node", "left").select(
+
+    def marked() -> DataFrame:
+        return inside.select("bucket", "node").join(labels, "node", "left").select(
             "bucket", "node", F.coalesce("label", "node").alias("label")
         )
+
+    for turn in range(1, ROUNDS + 1):
+        # Buckets that hold more than one component get a centre they did not have; it meets the other components.
+        now = marked()
         open_ = (
-            marked.groupBy("bucket")
+            now.groupBy("bucket")
             .agg(
                 F.min("label").alias("__least"),
                 F.max("label").alias("__most"),
@@ -204,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("own"))
         )
         pairs = (
-            marked.join(open_, "bucket")
+            now.join(open_, "bucket")
             .where("label <> own")
             .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
             .distinct()
@@ -216,6 +282,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tried = saved(tried.union(fresh))
         links = saved(links.union(found))
         labels = connected_components(links)
+    # What is left: in a bucket of three nodes or less all have met.
+    open_ = marked().groupBy("bucket").agg(F.min("label").alias("__least"), F.max("label").alias("__most"), F.count("*").alias("__n"))
+    open_ = open_.where("__least <> __most and __n > 3").select("bucket")
+    rest = saved(marked().join(open_, "bucket", "left_semi").select("node", "label").distinct())
+    fresh = saved(crossing_pairs(rest.join(sets, "node").select("node", "label", "members")).join(tried, ["a", "b"], "left_anti"))
+    found = saved(linked(fresh))
+    if found.limit(1).count():
+        labels = connected_components(links.union(found))
     return rows.join(labels, "node", "left").select(
         "__k1",
         "__k2",

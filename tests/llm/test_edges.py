@@ -99,6 +99,22 @@ def test_groups_of_near_copies(spark):
     assert [out[i] for i in range(150)] == [rows[r][0] for r in roots]
 
 
+def test_common_passage(spark):
+    """Many documents share a long passage and fall a little short of each other; only pairs reach the threshold."""
+    passage = " ".join(f"c{i}" for i in range(304))
+    rows = []
+    for i in range(160):
+        pair = " ".join(f"p{i // 2}x{j}" for j in range(5))
+        rows.append((i * 7919 % 1009, f"{passage} {pair} " + " ".join(f"o{i}x{j}" for j in range(47)), "en", "s"))
+    out = minhash_neardup.components(frame(spark, rows)).toPandas().set_index("doc_id").component_id
+    roots, _ = by_force([r[1] for r in rows])
+    assert len(set(roots)) == 80
+    groups = {}
+    for r, root in zip(rows, roots, strict=True):
+        groups.setdefault(root, []).append(r[0])
+    assert dict(out) == {i: min(own) for own in groups.values() for i in own}
+
+
 def test_components(spark):
     import random
 
