@@ -271,12 +271,10 @@ def tfidf_top_k(spark, sf):
 
 @query()
 def transliterated_top_k(spark, sf):
-    """Names are the texts of conversation turns; queries are the user's, targets the assistant's."""
+    """Names are the texts of conversation turns, all of one country; queries are the user's, targets the others'."""
     turns = table(spark, sf, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    rows = turns.select("id", F.lit("").alias("country"), F.col("text").alias("raw_name"), "role", "conv_id")
-    users, rest = rows.where("role = 'user'"), rows.where("role <> 'user'")
-    same = lambda x: x.withColumn("country", F.col("conv_id").cast("string"))
-    return found(retrieval.transliterated_top_k(same(users), same(rest), 20))
+    rows = turns.select("id", F.lit("").alias("country"), F.col("text").alias("raw_name"), "role")
+    return found(retrieval.transliterated_top_k(rows.where("role = 'user'"), rows.where("role <> 'user'"), 20))
 
 
 @query(f"with {O.SIDES}, {O.routed('r', 'name', 3, 4)} select q_id, c_id, score, rank from r")

@@ -131,6 +131,31 @@ def test_rerank(spark, both):
         assert retrieval.rerank(pool, *both, 25, form).count() == len(rows)
 
 
+def test_transliterated_search_covers_all_turns(spark):
+    from matchloom.functions.translit import transliterate
+    from matchloom.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    turns = Q.table(spark, sf, "conversations").withColumn("latin", transliterate("text"))
+    turns = turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", "text", T.boundary_grams("latin", 3, 4).alias("g")).collect()
+    grams = {r.id: Counter(r.g) for r in turns}
+    norm = {i: sum(n * n for n in g.values()) ** 0.5 for i, g in grams.items()}
+    targets = [r.id for r in turns if r.role != "user" and not r.text.isascii()]
+    want = {}
+    for q in (r.id for r in turns if r.role == "user"):
+        scores = {c: sum(n * grams[c][g] for g, n in grams[q].items()) / (norm[q] * norm[c]) for c in targets}
+        want |= {(q, c): s for c, s in sorted(scores.items(), key=lambda x: -x[1])[:20] if round(s, 6) > 0}
+    got = {(r.q_id, r.c_id): r.score for r in Q.QUERIES["transliterated_top_k"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert any(q.split("-")[0] != c.split("-")[0] for q, c in got)
+
+
+def test_blocked_search_is_the_full_search(both):
+    args = (*both, "name", (3, 4), 2)
+    whole = retrieval.cosine_top_k(*args).collect()
+    assert whole and Counter(map(tuple, retrieval.blocked_cosine_top_k(*args, block=1, wide=2).select("q_id", "c_id", "score", "rank").collect())) == Counter((r.q_id, r.c_id, r.score, r["rank"]) for r in whole)
+
+
 def test_transliterated_search(both):
     rows = retrieval.transliterated_top_k(*both).collect()
     assert [(r.q_id, r.c_id) for r in rows if r["rank"] == 1 and r.q_id == "S1-2"] == [("S1-2", "S2-2")]
