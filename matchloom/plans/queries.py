@@ -454,11 +454,11 @@ def pair_features_all(spark, sf):
 
 @query()
 def fuzzy_ratios(spark, sf):
-    """Ratios of every benchmark item's text and every conversation's first turn in which both occur once normalized, by their shared number of turns."""
-    turns = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), T.normalize("text").alias("b"))
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), T.normalize("text").alias("a"))
-    both = items.join(turns, "id")
-    return both.select("id", ratio("a", "b").alias("ratio"), token_sort_ratio("a", "b").alias("token_sort"), token_set_ratio("a", "b").alias("token_set"), lexical_similarity("a", "b").alias("lexical"))
+    """Ratios of every conversation turn's normalized text and that of the turn numbered one less."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", T.normalize("text").alias("b"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("b").alias("a"))
+    both = turns.join(before, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", ratio("a", "b").alias("ratio"), token_sort_ratio("a", "b").alias("token_sort"), token_set_ratio("a", "b").alias("token_set"), lexical_similarity("a", "b").alias("lexical"))
 
 
 # ---------------------------------------------------------------- training and evaluation

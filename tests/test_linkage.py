@@ -150,6 +150,16 @@ def test_transliterated_search_covers_all_turns(spark):
     assert any(q.split("-")[0] != c.split("-")[0] for q, c in got)
 
 
+def test_fuzzy_ratios_cover_all_turns(spark):
+    from matchloom.plans import queries as Q
+
+    turns = {(r.conv_id, r.turn): r.n for r in Q.table(spark, SF, "conversations").select("conv_id", "turn", T.normalize("text").alias("n")).collect()}
+    want = {(c, t): plain_ratio(turns[c, t - 1], n) for (c, t), n in turns.items() if (c, t - 1) in turns}
+    rows = Q.QUERIES["fuzzy_ratios"](spark, SF).collect()
+    assert len(rows) == len(want) == 67
+    assert {(r.conv_id, r.turn): r.ratio for r in rows} == pytest.approx(want)
+
+
 def test_blocked_search_is_the_full_search(both):
     args = (*both, "name", (3, 4), 2)
     whole = retrieval.cosine_top_k(*args).collect()
