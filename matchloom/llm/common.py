@@ -7,9 +7,11 @@ return); ``bytes.split`` cuts UTF-8 text in exactly that way.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -87,10 +91,8 @@ def give_back() -> None:
         pass
 
 
-def text_chunks(
-    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES
-) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``limit`` bytes of text each, and the texts as bytes."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with about ``limit`` bytes of text each, and the texts as large_binary."""
     for number, batch in enumerate(batches):
         if number % 8 == 7:
             give_back()
@@ -101,10 +103,18 @@ def text_chunks(
         group = ends // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            yield batch.slice(start, end - start), column.slice(start, end - start).to_pylist()
+            yield batch.slice(start, end - start), column.slice(start, end - start)
     give_back()
 
 
+def text_chunks(
+    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """As ``chunks``, with the texts as a list of bytes."""
+    for part, column in chunks(batches, text, limit):
+        yield part, column.to_pylist()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -116,6 +126,122 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Words of more bytes are hashed on their own; text is hashed in pieces of about ``PIECE`` bytes.
+LONG_WORD, PIECE = 1 << 16, 1 << 18
+#: A random odd base of the rolling hash with its inverse (mod 2**64), and what each byte stands for.
+BASE = 0x9E3779B97F4A7C15 & ~7 | 5
+INVERSE = pow(BASE, -1, 1 << 64)
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes that separate words, and bytes that may stand in runs of letters and digits.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[32, *range(9, 14)]] = False
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+class Powers:
+    """Powers of the base and of its inverse; not sent to workers, which build their own."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __reduce__(self):
+        return Powers, ()
+
+    def both(self) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.up):
+            self.up = np.multiply.accumulate(np.append(np.uint64(1), np.full(PIECE, BASE, np.uint64)))
+            self.down = np.multiply.accumulate(np.append(np.uint64(1), np.full(PIECE, INVERSE, np.uint64)))
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
+@dataclass
+class Words:
+    """The words of some texts: the texts' bytes on end, and each word's text, first byte, end and hash."""
+
+    data: np.ndarray
+    offsets: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.bincount(self.doc, minlength=len(self.offsets) - 1)
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large_binary column without nulls on end, and where each value starts (and the last one ends)."""
+    _, offsets, data = column.buffers()
+    if not len(column) or offsets is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return whole, at - at[0]
+
+
+def punctuation(data: np.ndarray) -> np.ndarray:
+    """Bytes of signs outside ASCII: U+0080 to U+00BF but for letters, U+2000 to U+207F, and U+3000 to U+303F."""
+    out = np.zeros(len(data), bool)
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    two = two[~np.isin(data[two + 1], (0xAA, 0xB5, 0xBA))]
+    three = np.flatnonzero((data[:-2] == 0xE2) | (data[:-2] == 0xE3))
+    after = data[three + 1]
+    three = three[(after == 0x80) | (after == 0x81) & (data[three] == 0xE2)]
+    for at, n in ((two, 2), (three, 3)):
+        for k in range(n):
+            out[at + k] = True
+    return out
+
+
+def words_of(column: pa.Array, within: np.ndarray = NOT_SPACE, lower: bool = False, signs: bool = False) -> Words:
+    """Maximal runs of the bytes ``within`` in the texts of a large_binary column without nulls.
+
+    The hash of a word is that of its bytes alone: differences of a rolling hash over the whole piece, moved back to
+    the word's start. ``lower`` takes A-Z as a-z; with ``signs``, signs outside ASCII separate words too.
+    """
+    data, offsets = flat_bytes(column)
+    if lower:
+        data = LOWER[data]
+    inside = within[data]
+    if signs:
+        inside &= ~punctuation(data)
+    before = np.zeros(len(data), bool)
+    before[1:] = inside[:-1]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False
+    start = np.flatnonzero(inside & ~before)
+    after = np.zeros(len(data), bool)
+    after[:-1] = inside[1:]
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
+    end = np.flatnonzero(inside & ~after) + 1
+    out = np.zeros(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(int(np.searchsorted(end, start[first] + PIECE, side="right")), first + 1)
+        base, size = int(start[first]), int(end[last - 1] - start[first])
+        if size > PIECE:  # one word alone
+            size = 0
+        else:
+            up, down = POWERS.both()
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(BYTE[data[base : base + size]] * up[:size], out=total[1:])
+            a, b = start[first:last] - base, end[first:last] - base
+            out[first:last] = (total[b] - total[a]) * down[a]
+        first = last
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        import xxhash
+
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    return Words(data, offsets, doc, start, end, mix(out))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, each computed once; emptied when it has ``most`` entries."""
 
@@ -167,12 +293,14 @@ def labelled_sample(
     per_class: int,
     max_bytes: int,
 ) -> tuple[list[tuple[bytes, int]], tuple[int, int]]:
-    """At most ``per_class`` texts of either class for training, and how many rows each class has.
+    """At most ``per_class`` texts of either class for training, and how many rows of ``docs`` each class has.
 
     Only labelled rows outside the held-out fold (crc32 of the id modulo
-    ``parts`` equal to ``held``) are used. Rows are picked by a hash of the id,
-    so the pick does not depend on the order of rows. Null labels and ids are
-    left out; an id that is labelled twice counts with the larger label.
+    ``parts`` equal to ``held``) with texts of at most ``max_bytes`` are used.
+    Labels meet the documents first, so that no pick is lost; then rows are
+    picked by a hash of the id. Of rows that share an id, the one whose text
+    has the smallest hash counts. Null labels and ids are left out; an id that
+    is labelled twice counts with the larger label.
     """
     spark = docs.sparkSession
     known = (
@@ -182,24 +310,44 @@ def labelled_sample(
         .groupBy("__id")
         .agg(F.max("__y").alias("__y"))
     )
-    ids: list[tuple[int, int]] = []
-    totals = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"))
+    texts = texts.where((F.octet_length("__text") <= max_bytes) & F.col("__id").isNotNull())
+    keyed = texts.select("__id", F.xxhash64("__text").alias("__k"))
+    rows = saved(keyed.join(known, "__id").groupBy("__id", "__y").agg(F.min("__k").alias("__k")))
+    totals = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    picked: list[tuple[int, int, int]] = []
     for y in (0, 1):
-        some = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
-        ids += [(r["__id"], y) for r in some.collect()]
-    if not ids:
+        some = rows.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
+        picked += [(r["__id"], y, r["__k"]) for r in some.collect()]
+    if not picked:
         return [], (0, 0)
-    chosen = spark.createDataFrame(ids, "__id long, __y int")  # at most 2 * per_class rows
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"))
-        .where(F.octet_length("__text") <= max_bytes)
-        .join(F.broadcast(chosen), "__id")
+    chosen = spark.createDataFrame(picked, "__id long, __y int, __k long")  # at most 2 * per_class rows
+    found = (
+        texts.withColumn("__k", F.xxhash64("__text"))
+        .join(F.broadcast(chosen), ["__id", "__k"])
         .dropDuplicates(["__id"])
         .select("__id", "__text", "__y")
         .collect()
     )
-    rows.sort(key=lambda r: r["__id"])
-    return [(r["__text"].encode(), r["__y"]) for r in rows], (totals.get(0, 0), totals.get(1, 0))
+    found.sort(key=lambda r: r["__id"])
+    return [(r["__text"].encode(), r["__y"]) for r in found], (totals.get(0, 0), totals.get(1, 0))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Slopes and offset of the weighted logistic curve over the columns of ``x`` (Newton steps on scaled columns)."""
+    centre, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.column_stack(((x - centre) / spread, np.ones(len(x))))
+    w, n = np.zeros(z.shape[1]), max(weight.sum(), 1e-9)
+    keep = np.diag([ridge] * x.shape[1] + [1e-6])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (weight * np.maximum(p * (1 - p), 1e-4) / n)[:, None]).T @ z + keep
+        step = np.clip(np.linalg.solve(h, z.T @ (weight * (p - y)) / n + keep @ w), -2, 2)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    slopes = w[:-1] / spread
+    return slopes, float(w[-1] - slopes @ centre)
 
 
 def platt(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
