@@ -4,25 +4,27 @@ A document is the set of its five-word shingles (A-Z lower-cased, words as
 they stand; fewer words: the whole sequence as one). Equal sets are one node.
 One hash of every shingle serves all bins: the top bits pick the bin, the
 smallest hash of a bin is its value, and an empty bin borrows from a bin that
-a hash of its own number and the attempt picks (optimal densification). Four
-consecutive bins form a band. Within a band's bucket the nodes are tied to its
-smallest and largest node only (stars), so the pairs grow with the members and
-not with their square. Every edge is confirmed on the full sets. Buckets that
-still hold several components get new star centres for a few rounds. What pairs
-of components then still share a bucket are confirmed or excluded exactly: two
-sets that reach the threshold share a shingle among the first of both, in any
-order of the shingles, so their nodes meet by these keys, rare shingles first,
-and pairs that cannot have enough in common after the place of the key are left
-out. Components join what the links connect.
-
-At a similarity of 0.75 a pair shares none of the 32 bands with a chance of
-about 5e-6. Sets are compared through 64-bit hashes of their shingles, and
+a hash of its own number and the attempt picks (optimal densification). Three
+consecutive bins form a band. Nodes are ordered by band and node over all
+tasks, and buckets of one node go. Within a bucket the nodes are tied to one
+centre only (stars), so the pairs grow with the members and not with their
+square; every edge is confirmed on the full sets. Buckets that still hold
+several components get new centres for a few rounds, which only meet the nodes
+of other components. What is left is confirmed or excluded exactly: in one
+order of all shingles, rare ones first, two sets that reach the threshold have
+their first common shingle so early that enough of both comes after it. So
+nodes meet by the shingles that are early enough for sets of about their size
+(size classes a tenth apart), and only across components.
+
+At a similarity of 0.75 a pair shares none of the 21 bands with a chance of
+about 1e-5. Sets are compared through 64-bit hashes of their shingles, and
 equal sets are recognised by a 64-bit hash of the set.
 
 Nulls: a null or blank text is an empty set, linked with nothing. A null id
 takes part, but never names a component unless all ids of it are null. Rows
-that repeat an id are rows of their own. Empty tables give empty results.
-Other columns are ignored.
+that repeat an id are rows of their own. Ties: the smallest id names a
+component and stays. Empty tables give empty results. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,35 +36,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, mapped, mix, polynomial, ragged, row_key, saved, text_chunks
+from .common import NO_ID, chunks, mapped, mix, polynomial, ragged, row_key, saved, words_of
 from .components import connected_components
 
 SHINGLE = 5
-BIN_BITS = 7
+BIN_BITS = 6
 BINS = 1 << BIN_BITS
-ROWS = 4
+ROWS = 3
 BANDS = BINS // ROWS
 #: 100 * intersection >= LEAST * union links two sets.
 LEAST = 75
-#: Rounds of new star centres, at most; they only spare work, as the exact step covers the rest.
+#: Rounds of star centres, at most; they only spare work, as the exact step covers the rest.
 ROUNDS = 3
 #: Counters by which shingles are ordered; any order is right, a rare-first one is fast.
-CELL_BITS = 14
+CELL_BITS = 18
+#: Ratio of the bounds of size classes.
+GROWTH = 1.1
 
 
-def shingle_sets(texts: list[bytes], words: WordHashes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Document index and hash of every distinct shingle, ordered by document and hash."""
-    split = [t.lower().split() for t in texts]
-    lengths = np.array([len(w) for w in split], np.int64)
-    flat = words.of([x for w in split for x in w])
-    starts, doc = ragged(lengths)
+    words = words_of(texts, lower=True)
+    doc, flat, lengths = words.doc, words.hash, words.lengths
     grams = polynomial(flat, n)
     inside = doc[: len(grams)] == doc[n - 1 :] if len(grams) else np.zeros(0, bool)
     owners, hashes = [doc[: len(grams)][inside]], [grams[inside]]
-    for d in np.flatnonzero((lengths > 0) & (lengths < n)).tolist():
-        own = flat[starts[d] : starts[d] + lengths[d]]
-        owners.append(np.array([d]))
-        hashes.append(polynomial(own, len(own)) ^ np.uint64(len(own)))
+    starts = np.cumsum(lengths) - lengths
+    for k in range(1, n):  # texts of fewer words
+        short = np.flatnonzero(lengths == k)
+        if len(short):
+            own = flat[starts[short]]
+            for j in range(1, k):
+                own = own * np.uint64(0x9E3779B97F4A7C15) + flat[starts[short] + j]
+            owners.append(short)
+            hashes.append(mix(own) ^ np.uint64(k))
     owner, value = np.concatenate(owners), np.concatenate(hashes)
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
@@ -107,21 +114,23 @@ def signatures(owner: np.ndarray, value: np.ndarray, n: int, table: np.ndarray)
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(__k1, __k2, text) to the row's key, set size, node and band keys."""
-    words, table = WordHashes(1), borrow_table()
-    for part, texts in text_chunks(batches):
-        owner, value = shingle_sets(texts, words)
+    table = borrow_table()
+    for part, texts in chunks(batches):
+        owner, value = shingle_sets(texts)
         n = len(texts)
         count = np.bincount(owner, minlength=n)
         # The set's hash: two sums over its members, which do not depend on their order.
         once, twice = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        np.add.at(once, owner, mix(value + np.uint64(0x2545F491)))
-        np.add.at(twice, owner, mix(value ^ np.uint64(0x9E3779B97F4A7C15)))
+        some = count > 0
+        if len(owner):
+            first = (np.cumsum(count) - count)[some]
+            once[some] = np.add.reduceat(mix(value + np.uint64(0x2545F491)), first)
+            twice[some] = np.add.reduceat(mix(value ^ np.uint64(0x9E3779B97F4A7C15)), first)
         node = mix(once ^ mix(twice + count.astype(np.uint64))).view(np.int64)
         bins = signatures(owner, value, n, table)
         band = np.zeros((n, BANDS), np.uint64)
         for r in range(ROWS):
-            band = mix(band * np.uint64(31) + bins[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
-        some = count > 0
+            band = mix(band * np.uint64(31) + bins[:, r : BANDS * ROWS : ROWS] + np.arange(BANDS, dtype=np.uint64))
         offsets = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
@@ -137,21 +146,55 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) to (node, sorted shingle hashes as bytes)."""
-    words = WordHashes(1)
-    for part, texts in text_chunks(batches):
-        owner, value = shingle_sets(texts, words)
+    for part, texts in chunks(batches):
+        owner, value = shingle_sets(texts)
         ends = np.searchsorted(owner, np.arange(len(texts)), side="right")
         starts = np.concatenate(([0], ends[:-1]))
         own = [value[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["node", "members"])
 
 
+def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ordered by their first column, those whose value a neighbour has; the task's first and last value may go on elsewhere."""
+    held = None
+    first = True
+
+    def rows(batch: pa.RecordBatch, after: bool | None) -> pa.RecordBatch:
+        x = batch.column(0).to_numpy()
+        same = x[1:] == x[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        keep[0] |= before is not None and before == x[0]
+        keep[-1] |= bool(after)
+        return batch.filter(pa.array(keep))
+
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is None:
+            held = batch
+            continue
+        after = held.column(0)[-1].as_py() == batch.column(0)[0].as_py()
+        if first:
+            before, first = held.column(0)[0].as_py(), False
+        out = rows(held, after)
+        before = held.column(0)[-1].as_py()
+        held = batch
+        yield out
+    if held is not None:
+        if first:
+            before = held.column(0)[0].as_py()
+        yield rows(held, True)
+
+
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, left, right) to the pairs that reach the threshold."""
+    """(a, b, left, right) to the pairs (a, b) that reach the threshold."""
     for part in batches:
         keep = np.zeros(part.num_rows, bool)
         for i, (x, y) in enumerate(zip(part.column(2), part.column(3), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            if len(x) > len(y):
+                x, y = y, x
             at = np.searchsorted(y, x)
             both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
             keep[i] = 100 * both >= LEAST * (len(x) + len(y) - both)
@@ -168,27 +211,46 @@ def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
 
-def first_shingles(counts: np.ndarray):
-    """(node, label, members) to the shingles that a set can share first with a set no smaller than itself by the threshold."""
+def size_classes(most: int) -> np.ndarray:
+    """Least sizes of the classes of sizes up to ``most``."""
+    return np.unique(np.ceil(GROWTH ** np.arange(int(np.log(max(most, 2)) / np.log(GROWTH)) + 2)).astype(np.int64))
+
+
+def first_shingles(ranks: np.ndarray):
+    """(node, label, members) to the shingles by which a set may meet another one.
+
+    A set (``big`` false) looks for sets no smaller than itself under its own size class. It is found (``big`` true)
+    under the classes of all sets down to three quarters of its size. A shingle counts while what follows it in the
+    order leaves room for the common part that the smallest sizes in question ask for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            lengths, keys, places = [], [], []
-            for x in part.column(2):
+            bounds = size_classes(max((len(x.as_buffer()) // 8 for x in part.column(2)), default=2))
+            of, keys, places, classes, big, sizes = [], [], [], [], [], []
+            for i, x in enumerate(part.column(2)):
                 x = np.frombuffer(x.as_buffer(), np.uint64)
-                rank = counts[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                first = x[np.lexsort((x, rank))[: len(x) * (100 - LEAST) // 100 + 1]]
-                lengths.append((len(x), len(first)))
-                keys.append(first)
-                places.append(np.arange(len(first)))
-            if not lengths:
+                n = len(x)
+                rank = ranks[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                own = int(np.searchsorted(bounds, n, side="right")) - 1
+                least = -(-LEAST * n // 100)
+                low = int(np.searchsorted(bounds, least, side="right")) - 1
+                roles = [(False, own, n)] + [(True, c, max(least, int(bounds[c]))) for c in range(low, own + 1)]
+                ordered = x[np.lexsort((x, rank))[: n - -(-LEAST * (least + n) // (100 + LEAST)) + 1]]
+                for role, c, other in roles:
+                    some = ordered[: n - -(-LEAST * (other + n) // (100 + LEAST)) + 1]
+                    of.append(np.full(len(some), i))
+                    keys.append(some)
+                    places.append(np.arange(len(some)))
+                    classes.append(np.full(len(some), int(bounds[c])))
+                    big.append(np.full(len(some), role))
+                    sizes.append(np.full(len(some), n))
+            if not of:
                 continue
-            n, m = np.array(lengths, np.int64).T
-            of = np.repeat(np.arange(len(n)), m)
-            own = part.select(["node", "label"]).take(pa.array(of))
+            own = part.select(["node", "label"]).take(pa.array(np.concatenate(of)))
             yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1), pa.array(n[of]), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places))],
-                ["node", "label", "n", "shingle", "place"],
+                [own.column(0), own.column(1), *(pa.array(np.concatenate(c)) for c in (sizes, [k.view(np.int64) for k in keys], classes, places, big))],
+                ["node", "label", "n", "shingle", "class", "place", "big"],
             )
 
     return run
@@ -197,21 +259,27 @@ def first_shingles(counts: np.ndarray):
 def crossing_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a < b) of nodes (node, label, members) with different labels: all that reach the threshold, and few others.
 
-    In one order of all shingles, what two sets have in common lies at or after their first common shingle. So its
-    place leaves room for the common part that their sizes ask for; the smaller set has it in its first seventh.
+    Under a shingle and size class, the nodes of the commonest label meet those of other labels only.
     """
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    for r in mapped(nodes, cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts[r["cell"]] = r["n"]
-    keys = saved(mapped(nodes, first_shingles(counts), "node long, label long, n long, shingle long, place long"))
-    crossing = keys.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    keys = saved(keys.join(crossing.select("shingle"), "shingle", "left_semi"))
-    x = keys.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "place")])
-    y = keys.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "place")])
-    fit = f"""x_label <> y_label and x_n <= y_n and 100 * x_n >= {LEAST} * y_n
-        and {100 + LEAST} * least(x_n - x_place, y_n - y_place) >= {LEAST} * (x_n + y_n)"""
-    near = x.where(f"{100 + LEAST} * (x_n - x_place) >= {2 * LEAST} * x_n").join(y, "shingle").where(fit)
-    return near.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    found = mapped(nodes, cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # one row a counter
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    ranks = np.round(8 * np.log2(counts + 1)).clip(0, 255).astype(np.uint8)
+    on = ["shingle", "class"]
+    keys = saved(mapped(nodes, first_shingles(ranks), "node long, label long, n long, shingle long, class long, place long, big boolean"))
+    shares = keys.groupBy(*on, "label").agg(F.count("*").alias("c"), F.bool_or("big").alias("l"), F.bool_or(~F.col("big")).alias("s"))
+    main = shares.groupBy(*on).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.bool_or("l").alias("l"), F.bool_or("s").alias("s"))
+    main = main.where("labels > 1 and l and s").select(*on, "main")
+    keys = saved(keys.join(main, on))
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("node", "label", "n", "place")]
+    small, large = keys.where("not big"), keys.where("big")
+    fit = f"""s_label <> l_label and s_n <= l_n and s_node <> l_node and 100 * s_n >= {LEAST} * l_n
+        and {100 + LEAST} * least(s_n - s_place, l_n - l_place) >= {LEAST} * (s_n + l_n)"""
+    near = [
+        a.select(*on, *side("s")).join(b.select(*on, *side("l")), on).where(fit).select(F.least("s_node", "l_node").alias("a"), F.greatest("s_node", "l_node").alias("b"))
+        for a, b in ((small.where("label <> main"), large), (small.where("label = main"), large.where("label <> main")))
+    ]
+    return near[0].union(near[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,76 +288,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = saved(
         mapped(keyed, sketches, "__k1 long, __k2 long, n long, node long, bands array<long>")
     )
-    members = rows.where("node is not null").select("node", F.explode("bands").alias("bucket"))
-    shared = (
-        members.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .where("low <> high")
-    )
-    # Buckets of one node alone say nothing; what is left is small unless the corpus is full of near copies.
-    inside = saved(members.join(shared, "bucket").select("bucket", "node", "low", "high").distinct())
-    names = inside.select("node").distinct()
-    owners = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("__k2", "__k1")).alias("row"))
-    owners = owners.join(names, "node", "left_semi").select("node", F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"))
+    # One row stands for all rows of a set.
+    sets = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("__k2", "__k1")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = saved(sets)
+    members = sets.select(F.explode("bands").alias("bucket"), "node", "n")
+    inside = saved(mapped(members.repartitionByRange("bucket", "node").sortWithinPartitions("bucket"), not_alone, members.schema))
+    labels = saved(inside.groupBy("node").agg(F.max("n").alias("n")).select("node", F.col("node").alias("label")))
+    owners = sets.join(labels, "node", "left_semi").select("node", F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"))
     texts = keyed.join(owners, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select("node", "text")
-    sets = saved(mapped(texts, packed_sets, "node long, members binary"))
+    packed = saved(mapped(texts, packed_sets, "node long, members binary"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a < b) whose sets are similar enough."""
-        left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
-        right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-        sizes = F.octet_length("left"), F.octet_length("right")
-        near = pairs.join(left, "a").join(right, "b").where(100 * F.least(*sizes) >= LEAST * F.greatest(*sizes))
-        return mapped(near.select("a", "b", "left", "right"), confirm, "a long, b long")
-
-    def edges(centre: str, of: DataFrame) -> DataFrame:
-        return of.where(F.col(centre) != F.col("node")).select(
-            F.least(centre, "node").alias("a"), F.greatest(centre, "node").alias("b")
-        )
-
-    tried = saved(edges("low", inside).union(edges("high", inside)).distinct())
-    links = saved(linked(tried))
-    labels = connected_components(links)
-
-    def marked() -> DataFrame:
-        return inside.select("bucket", "node").join(labels, "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label")
-        )
-
-    for turn in range(1, ROUNDS + 1):
-        # Buckets that hold more than one component get a centre they did not have; it meets the other components.
-        now = marked()
-        open_ = (
-            now.groupBy("bucket")
-            .agg(
-                F.min("label").alias("__least"),
-                F.max("label").alias("__most"),
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("c"),
-            )
-            .where("__least <> __most")
-            .select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("own"))
-        )
-        pairs = (
-            now.join(open_, "bucket")
-            .where("label <> own")
-            .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-            .distinct()
-        )
-        fresh = saved(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = saved(linked(fresh))
+        """The pairs (a, b) whose sets are similar enough."""
+        left = packed.select(F.col("node").alias("a"), F.col("members").alias("left"))
+        right = packed.select(F.col("node").alias("b"), F.col("members").alias("right"))
+        return saved(mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right"), confirm, "a long, b long"))
+
+    def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+        """Labels after the links found, on the graph of the labels there were."""
+        ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
+        between = found.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
+        names = connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("name"))
+        return saved(labels.join(names, "label", "left").select("node", F.coalesce("name", "label").alias("label")))
+
+    def open_buckets(labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """The members of buckets with their labels, and the buckets of several labels with this turn's centre."""
+        now = inside.join(labels, "node")
+        first = F.struct((F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("h"), "node", "label", "n")
+        open_ = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.min(first).alias("c")).where("x <> y")
+        return now, open_.select("bucket", "size", F.col("c.node").alias("centre"), F.col("c.label").alias("own"), F.col("c.n").alias("cn"))
+
+    for turn in range(ROUNDS):
+        now, open_ = open_buckets(labels, turn)
+        # The centre meets the nodes of other components whose size lets them be similar.
+        pairs = now.join(open_, "bucket").where(f"label <> own and 100 * least(n, cn) >= {LEAST} * greatest(n, cn)")
+        found = linked(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
         if not found.limit(1).count():
             break
-        tried = saved(tried.union(fresh))
-        links = saved(links.union(found))
-        labels = connected_components(links)
-    # What is left: in a bucket of three nodes or less all have met.
-    open_ = marked().groupBy("bucket").agg(F.min("label").alias("__least"), F.max("label").alias("__most"), F.count("*").alias("__n"))
-    open_ = open_.where("__least <> __most and __n > 3").select("bucket")
-    rest = saved(marked().join(open_, "bucket", "left_semi").select("node", "label").distinct())
-    fresh = saved(crossing_pairs(rest.join(sets, "node").select("node", "label", "members")).join(tried, ["a", "b"], "left_anti"))
-    found = saved(linked(fresh))
-    if found.limit(1).count():
-        labels = connected_components(links.union(found))
+        labels = merged(labels, found)
+    # In a bucket of two nodes all have met.
+    now, open_ = open_buckets(labels, ROUNDS)
+    rest = saved(now.join(open_.where("size > 2").select("bucket"), "bucket", "left_semi").select("node", "label").distinct())
+    found = linked(crossing_pairs(rest.join(packed, "node").select("node", "label", "members")))
+    labels = merged(labels, found)
     return rows.join(labels, "node", "left").select(
         "__k1",
         "__k2",
@@ -322,9 +363,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     winners = rows.where("label is not null").groupBy("label").agg(F.min(rank).alias("w")).select("w.__k1", "w.__k2", F.lit(True).alias("__one"))
     lone = rows.where("label is null").select("__k1", "__k2", F.lit(False).alias("__one")).distinct()
     names = docs.columns
-    kept = docs.select(*names, *row_key()).join(winners.union(lone), ["__k1", "__k2"])
+    # Rows are numbered where they are read, before any shuffle, so that a task run again gives the same numbers.
+    numbered = docs.select(*names, *row_key(), F.monotonically_increasing_id().alias("__row"))
+    kept = numbered.join(saved(winners.union(lone)), ["__k1", "__k2"])
     return (
-        kept.withColumn("__copy", F.when(F.col("__one"), F.lit(0)).otherwise(F.monotonically_increasing_id()))
+        kept.withColumn("__copy", F.when(F.col("__one"), F.lit(-1)).otherwise(F.col("__row")))
         .dropDuplicates(["__k1", "__k2", "__copy"])
         .select(names)
     )

@@ -115,6 +115,63 @@ def test_common_passage(spark):
     assert dict(out) == {i: min(own) for own in groups.values() for i in own}
 
 
+def groups(ids, roots):
+    out = {}
+    for i, root in zip(ids, roots, strict=True):
+        out.setdefault(root, []).append(i)
+    return {i: min(own) for own in out.values() for i in own}
+
+
+def test_planted_pairs_among_near_misses(spark):
+    """A text that all share leaves them a little under the threshold; 20 pairs lie above it and must all be found."""
+    passage = " ".join(f"c{i}" for i in range(304))
+    tail = lambda name, n: " ".join(f"{name}x{j}" for j in range(n))
+    rows = [(i, f"{passage} {tail(f'o{i}', 52)}", "en", "s") for i in range(300)]
+    for k in range(20):
+        a, b = 7 * k, 7 * k + 141
+        rows[a] = (a, f"{passage} {tail(f'p{k}', 25)} {tail(f'o{a}', 27)}", "en", "s")
+        rows[b] = (b, f"{passage} {tail(f'p{k}', 25)} {tail(f'o{b}', 27)}", "en", "s")
+    out = minhash_neardup.components(frame(spark, rows)).toPandas().set_index("doc_id").component_id
+    roots, _ = by_force([r[1] for r in rows])
+    assert len(set(roots)) == 280
+    assert dict(out) == groups([r[0] for r in rows], roots)
+
+
+def test_families_near_the_threshold(spark):
+    """Families of copies with random changes, similarities on both sides of 0.75: the same components as all pairs give."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(rng.choice([30, 80, 200]))]
+        for _ in range(30):
+            words = list(base)
+            for _ in range(rng.randrange(max(2, len(base) // 35))):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), "en", "s"))
+    out = minhash_neardup.components(frame(spark, rows)).toPandas().set_index("doc_id").component_id
+    roots, _ = by_force([r[1] for r in rows])
+    assert 12 < len(set(roots)) < 200
+    assert dict(out) == groups([r[0] for r in rows], roots)
+
+
+def test_not_alone():
+    """Runs over any cuts into batches: inner values that no neighbour has go."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    for _ in range(200):
+        values = sorted(rng.randrange(12) for _ in range(rng.randrange(14)))
+        cuts = sorted(rng.randrange(len(values) + 1) for _ in range(3))
+        parts = [values[a:b] for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True)]
+        got = [x for b in minhash_neardup.not_alone(pa.RecordBatch.from_arrays([pa.array(p, pa.int64())], ["bucket"]) for p in parts) for x in b.column(0).to_pylist()]
+        inner = [x for x in values if values.count(x) > 1 or x in (values[0], values[-1])]
+        assert got == inner
+
+
 def test_components(spark):
     import random
 
@@ -260,6 +317,93 @@ def test_classifiers(docs, empty, labels, module, call):
     assert len(one) == len(ROWS)
 
 
+def test_marginals():
+    """Forward-backward against all paths, many chains side by side, over more than one stretch."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 7, 90)
+    emission, move = rng.normal(size=sizes.sum()) * 3, rng.normal(size=(2, 2)) * 2
+    chance, moves = crf_toxicity.marginals(emission, np.repeat(np.arange(len(sizes)), sizes), move, pairs=True)
+    want, between, at = [], np.zeros((2, 2)), 0
+    for n in sizes.tolist():
+        total, on, step = 0.0, np.zeros(n), np.zeros((2, 2))
+        for path in itertools.product((0, 1), repeat=n):
+            z = np.exp(sum(emission[at + i] * path[i] for i in range(n)) + sum(move[path[i], path[i + 1]] for i in range(n - 1)))
+            total += z
+            on += z * np.array(path)
+            for i in range(n - 1):
+                step[path[i], path[i + 1]] += z
+        want += (on / total).tolist()
+        between += step / total
+        at += n
+    assert chance == pytest.approx(want) and moves == pytest.approx(between)
+
+
+def test_marginals_of_a_long_text():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    emission, move = rng.normal(size=300_000) * 4 - 2, np.array([[1.0, -2.0], [-1.0, 1.0]])
+    began = time.time()
+    chance, _ = crf_toxicity.marginals(emission, np.zeros(len(emission), np.int64), move)
+    assert time.time() - began < 5
+    # The same states by one step after the other.
+    t, e = np.exp(move), np.exp(emission)
+    ahead, back = np.empty(len(e)), np.ones(len(e))
+    ahead[0] = e[0]
+    for k in range(1, len(e)):
+        ahead[k] = e[k] * (t[0, 1] + ahead[k - 1] * t[1, 1]) / (t[0, 0] + ahead[k - 1] * t[1, 0])
+    for k in range(len(e) - 2, -1, -1):
+        b = back[k + 1] * e[k + 1]
+        back[k] = (t[1, 0] + t[1, 1] * b) / (t[0, 0] + t[0, 1] * b)
+    odds = ahead * back
+    assert chance == pytest.approx(odds / (1 + odds), rel=1e-6)
+
+
+def test_token_spans_in_code_points():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", "é İdiot—“Zoë”  x", "a1 b2"]
+    words = crf_toxicity.tokens(pa.array([t.encode() for t in texts], pa.large_binary()))
+    spans = crf_toxicity.spans_of(words, np.ones(len(words.hash), bool)).to_pylist()
+    assert [[t[a:b] for a, b in zip(s[::2], s[1::2], strict=True)] for t, s in zip(texts, spans, strict=True)] == [[], ["é", "İdiot", "Zoë", "x"], ["a1", "b2"]]
+
+
+def test_word_hashes():
+    """The same words as splitting, equal hashes for equal words only, very long words among them."""
+    import random
+
+    import pyarrow as pa
+
+    from matchloom.llm.common import words_of
+
+    rng = random.Random(3)
+    texts = [b"", b" ", b"x" * 70_000 + b" y", b"\xff " + b"z" * 300_000] + [" ".join(rng.choice(["a", "ab", "ba", "é", "long" * 9]) for _ in range(rng.randrange(9))).encode() for _ in range(300)]
+    words = words_of(pa.array(texts, pa.large_binary()))
+    got = [words.data[a:b].tobytes() for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+    assert got == [w for t in texts for w in t.split()]
+    assert words.lengths.tolist() == [len(t.split()) for t in texts]
+    known = {}
+    assert all(known.setdefault(w, h) == h for w, h in zip(got, words.hash.tolist(), strict=True)) and len(set(known.values())) == len(known)
+
+
+def test_sample_of_labels_without_documents(spark):
+    """Labels of documents that are not there, or too long, cost no row of the sample; of an id's texts one is picked by a stated rule."""
+    from matchloom.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i}" if i != 4 else "x" * 500) for i in range(9000, 9012)] + [(9000, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20_000)], "doc_id long, toxic int")
+    sample, totals = labelled_sample(docs, labels, "toxic", 1, 1, 50, 100)
+    assert len(sample) == 12 and totals == (6, 6)
+    assert labelled_sample(docs, labels, "toxic", 1, 1, 50, 100)[0] == sample
+
+
 def test_quality_stage(docs, empty, labels):
     assert nbsvm_quality.keep_good(docs, labels).columns == docs.columns
     assert nbsvm_quality.keep_good(empty, labels).count() == 0
