@@ -6,19 +6,25 @@ before it), implied parts of tables (a cell without a row, a row without a
 body), end tags that match nothing. Visibility follows the elements that are
 never shown, the ``hidden`` attribute, closed ``details`` and ``dialog``, and
 ``display: none`` and ``visibility`` from style attributes and from simple
-selectors (name, class, id and their combinations) of the page's style sheets.
-The text of what is visible comes out with blank lines around paragraphs and
+selectors (name, class, id and their combinations) of the page's style sheets,
+but for blocks that do not hold on a screen. The text of what is visible comes out with blank lines around paragraphs and
 headings, line breaks around other blocks, marked and indented list items,
 cells of a table padded to the width of their column, and preformatted text
-as it stands.
+as it stands. Reading a page takes time in proportion to its length, whatever
+tags it leaves open.
+
+Two parameters bound the layout and lose no text: cells of more than ``wide``
+code points do not widen their column, and no cell gets more padding than that;
+tables inside more than ``deep`` others are laid out as plain blocks.
 
 Nulls: a null or empty page has an empty text. A null id is kept. Rows that
-repeat are laid out alike. Empty tables give empty results. Other columns are
-ignored. Tables inside more than ``DEEP`` others are laid out as plain blocks.
+repeat are laid out alike; there are no ties to break, as a page's text depends
+on the page alone. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -30,18 +36,21 @@ from pyspark.sql import functions as F
 
 from .common import mapped, text_chunks
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+ENDING = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+BRACE = re.compile(r"[{};]")
+COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 SELECTOR = re.compile(r"^([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)$", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
-DEEP = 12
+#: Tables in tables that are laid out as tables; code points of a cell that count for its column; the largest colspan.
+DEEP, WIDE, SPAN = 40, 100, 1000
 
 # Element names by the part they play in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
 UNSEEN = frozenset(
-    "head script style template noscript meta link title base iframe noembed noframes object audio video canvas svg math datalist param source track area map rp".split()
+    "head script style template noscript meta link title base iframe noembed noframes audio video canvas desc defs metadata datalist param source track area map rp".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
 BLOCK = SPACED | frozenset(
@@ -109,23 +118,76 @@ class Open(list):
                 return
 
 
+class Scanner:
+    """Tags of a page in one pass: (start, end, name with its slash, attributes); comments and declarations have no name."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        # Readings that met no end of a tag: where their quotes stand. A tag that begins outside the quotes of one of
+        # them ends nowhere either. Readings that differ never meet, so there are three at most.
+        self.lost: list[tuple[list[int], list[int]]] = []
+
+    def close(self, at: int) -> int:
+        """The first ``>`` outside quotes, -1 if there is none."""
+        for opened, closed in self.lost:
+            k = bisect.bisect_right(opened, at) - 1
+            if k < 0 or closed[k] < at:
+                return -1
+        opened, closed = [], []
+        while True:
+            mark = ENDING.search(self.page, at)
+            if mark is None:
+                break
+            if mark[0] == ">":
+                return mark.start()
+            opened.append(mark.start())
+            at = self.page.find(mark[0], mark.end())
+            if at < 0:
+                closed.append(len(self.page))
+                break
+            closed.append(at)
+            at += 1
+        self.lost.append((opened, closed))
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, "", ""
+            if at > self.last:
+                return None
+            if page[at + 1 : at + 2] in ("!", "?"):
+                return at, page.find(">", at) + 1, "", ""
+            name = NAME.match(page, at + 1)
+            if name:
+                end = self.close(name.end())
+                if end < 0:  # a quote that never ends: the tag ends at the first sign that could end it
+                    end = page.find(">", name.end())
+                return at, end + 1, name[0], page[name.end() : end]
+            at += 1
+        return None
+
+
 def parse(page: str) -> tuple[Node, list[str]]:
     """The tree of a page, and its style sheets."""
     root = Node("#root")
     open_, sheets, at, size = Open(root), [], 0, len(page)
+    scanner = Scanner(page)
     while at < size:
-        match = TOKEN.search(page, at)
-        if match is None:
+        found = scanner.next(at)
+        if found is None:
             open_[-1].kids.append(page[at:])
             break
-        if match.start() > at:
-            open_[-1].kids.append(page[at : match.start()])
-        at = match.end()
-        tag = match[2]
+        if found[0] > at:
+            open_[-1].kids.append(page[at : found[0]])
+        at = found[1]
+        tag = found[2].lower()
         if not tag:
             continue
-        tag = tag.lower()
-        if match[1]:
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag == "br":
                 open_[-1].kids.append(Node("br"))
                 continue
@@ -153,15 +215,16 @@ def parse(page: str) -> tuple[Node, list[str]]:
             open_.push(Node("tr"))
         elif tag == "tr" and open_[-1].tag == "table":
             open_.push(Node("tbody"))
-        node = Node(tag, match[3])
+        node = Node(tag, found[3])
         if tag not in VOID and tag not in RAW:
             open_.push(node)
             continue
         open_[-1].kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             inner = page[at : end.start() if end else size]
-            at = end.end() if end else size
+            at = page.find(">", end.end()) + 1 if end else size
+            at = at or size
             if tag == "style":
                 sheets.append(inner)
             elif tag not in UNSEEN:
@@ -179,24 +242,58 @@ def declared(style: str) -> tuple[bool, bool | None]:
     return "display:none" in style, hides
 
 
-def rules(sheets: list[str]) -> list[tuple[str, set[str], set[str], bool, bool | None]]:
-    """(name, classes, ids, gone, hides) of the simple selectors that bear on visibility."""
-    out = []
-    for sheet in sheets:
-        if "display" not in sheet and "visibility" not in sheet:
-            continue
-        for head, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            gone, hides = declared(body)
-            if not gone and hides is None:
+def blocks(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet, those in blocks that hold on a screen among them."""
+    sheet = COMMENT.sub("", sheet)
+    start, depth, skip = 0, [], 0  # depth: for each open block whether it is left out, and the head of a rule
+    for mark in BRACE.finditer(sheet):
+        piece = sheet[start : mark.start()].strip()
+        start = mark.end()
+        if mark[0] == "{":
+            head = piece.lower()
+            out = False
+            if head.startswith("@"):
+                name, _, query = head[1:].partition(" ")
+                out = name not in ("media", "supports", "layer", "container", "scope") or (
+                    name == "media" and all(re.match(r"\s*(only\s+)?(print|speech)\b|\s*not\s+(all|screen)\b", q) for q in query.split(","))
+                )
+                piece = ""
+            depth.append((out, piece, mark.end()))
+            skip += out
+        elif mark[0] == "}" and depth:
+            out, head, inner = depth.pop()
+            skip -= out
+            if head and not skip:
+                yield head, sheet[inner : mark.start()]
+
+
+class Sheet:
+    """The simple selectors that bear on visibility, by the id, class or name that an element must have; and the layout's bounds."""
+
+    def __init__(self, sheets: list[str], deep: int, wide: int):
+        self.deep, self.wide = deep, wide
+        self.by: dict[str, list] = {}
+        for sheet in sheets:
+            if "display" not in sheet and "visibility" not in sheet:
                 continue
-            for one in head.split(","):
-                match = SELECTOR.match(one.strip())
-                if match:
-                    marks = re.findall(r"[.#][\w-]+", match[2])
-                    out.append(
-                        ((match[1] or "*").lower(), {m[1:] for m in marks if m[0] == "."}, {m[1:] for m in marks if m[0] == "#"}, gone, hides)
-                    )
-    return out
+            for head, body in blocks(sheet):
+                gone, hides = declared(body)
+                if not gone and hides is None:
+                    continue
+                for one in head.split(","):
+                    match = SELECTOR.match(one.strip())
+                    if match:
+                        marks = re.findall(r"[.#][\w-]+", match[2])
+                        name = (match[1] or "*").lower()
+                        key = next((m for m in marks if m[0] == "#"), marks[0] if marks else name)
+                        own = self.by.setdefault(key, [])
+                        own.append((sum(map(len, self.by.values())), name, frozenset(marks), gone, hides))
+
+    def bearing(self, tag: str, attrs: dict[str, str]) -> list[tuple[bool, bool | None]]:
+        """(gone, hides) of the rules that hold for an element, in the order of the sheets."""
+        marks = {f".{c}" for c in attrs.get("class", "").split()} | ({f"#{attrs['id']}"} if "id" in attrs else set())
+        found = [r for key in ("*", tag, *marks) for r in self.by.get(key, ())]
+        return [r[3:] for r in sorted((r for r in found if r[1] in ("*", tag) and r[2] <= marks), key=lambda r: r[0])] if found else []
 
 
 class Page:
@@ -305,7 +402,7 @@ def grid(node: Node, sheet, hidden: bool, depth: int) -> list[str]:
                 lost, under = seen(cell, sheet, veiled)
                 if not lost:
                     wide = cell.named().get("colspan", "1")
-                    cells.append((lay(cell, cell.kids, sheet, under, depth), max(1, min(int(wide), 100)) if wide.isascii() and wide.isdigit() else 1))
+                    cells.append((lay(cell, cell.kids, sheet, under, depth), max(1, min(int(wide[:9]), SPAN)) if wide.isascii() and wide.isdigit() else 1))
             rows.append(cells)
         else:
             out += lay(kid, kid.kids, sheet, veiled, depth)
@@ -314,16 +411,20 @@ def grid(node: Node, sheet, hidden: bool, depth: int) -> list[str]:
         at = 0
         for lines, span in cells:
             if span == 1:
-                width[at] = max(width.get(at, 0), *map(len, lines), 0) if lines else width.get(at, 0)
+                width[at] = max([width.get(at, 0), *(len(x) for x in lines if len(x) <= sheet.wide)])
             at += span
     for cells in rows:
+        full, at = [], 0
+        for _, span in cells:
+            columns = [width[at + k] for k in range(span) if at + k in width] if span > 1 else [width[at]]
+            full.append(min(sum(columns) + 3 * max(len(columns) - 1, 0), sheet.wide))
+            at += span
         for i in range(max((len(lines) for lines, _ in cells), default=0)):
-            at, parts = 0, []
-            for lines, span in cells:
-                full = sum(width.get(at + k, 0) for k in range(span)) + 3 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(full))
-                at += span
-            out.append(" | ".join(parts).rstrip(" |") if any(p.strip() for p in parts) else "")
+            parts = [lines[i] if i < len(lines) else "" for lines, _ in cells]
+            while parts and not parts[-1]:
+                parts.pop()
+            # Only what stands before another cell is padded, so nothing has to be cut off again.
+            out.append(" | ".join([p.ljust(n) for p, n in zip(parts[:-1], full, strict=False)] + parts[-1:]))
     return [line for line in out if line]
 
 
@@ -331,17 +432,15 @@ def seen(node: Node, sheet, hidden: bool) -> tuple[bool, bool]:
     """Whether a node is taken away, and whether text in it is hidden."""
     if node.tag in UNSEEN:
         return True, hidden
-    if not sheet and (not node.attrs or node.attrs.isspace()):
+    if not sheet.by and (not node.attrs or node.attrs.isspace()):
         return node.tag == "dialog", hidden
     attrs = node.named()
     if "hidden" in attrs or node.tag == "dialog" and "open" not in attrs or node.tag == "input":
         return True, hidden
-    classes = set(attrs.get("class", "").split())
-    for name, some, ids, gone, hides in sheet:
-        if name in ("*", node.tag) and some <= classes and ids <= {attrs.get("id")}:
-            if gone:
-                return True, hidden
-            hidden = hidden if hides is None else hides
+    for gone, hides in sheet.bearing(node.tag, attrs):
+        if gone:
+            return True, hidden
+        hidden = hidden if hides is None else hides
     if "style" in attrs:
         gone, hides = declared(attrs["style"])
         return gone, hidden if hides is None else hides
@@ -372,7 +471,7 @@ def lay(node: Node, kids: list, sheet, hidden: bool = False, depth: int = 0) ->
         if tag == "br":
             page.newline()
             continue
-        if tag == "table" and depth < DEEP:
+        if tag == "table" and depth < sheet.deep:
             page.owe(2)
             lines = grid(kid, sheet, veiled, depth + 1)
             page.block(lines)
@@ -412,19 +511,23 @@ def lay(node: Node, kids: list, sheet, hidden: bool = False, depth: int = 0) ->
     return page.done()
 
 
-def visible_text(page: str) -> str:
+def visible_text(page: str, deep: int = DEEP, wide: int = WIDE) -> str:
     root, sheets = parse(page)
-    return "\n".join(lay(root, root.kids, rules(sheets)))
+    return "\n".join(lay(root, root.kids, Sheet(sheets, deep, wide)))
+
+
+def renderer(deep: int, wide: int):
+    """A function for mapInArrow from (page_id, html) to (page_id, text)."""
 
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pages in text_chunks(batches, text="html"):
+            texts = [visible_text(p.decode("utf-8", "replace"), deep, wide) for p in pages]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
 
-def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, html) to (page_id, text)."""
-    for part, pages in text_chunks(batches, text="html"):
-        texts = [visible_text(p.decode("utf-8", "replace")) for p in pages]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
+    return render
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
+def page_texts(pages: DataFrame, deep: int = DEEP, wide: int = WIDE) -> DataFrame:
     """page_id and text for every row of ``pages``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
-    return mapped(rows, render, "page_id long, text string")
+    return mapped(rows, renderer(deep, wide), "page_id long, text string")

@@ -21,6 +21,11 @@ CASES = [
     ("<a><b>x</a>y</b>", "xy"),
     ("1 < 2 <b>x", "1 < 2 x"),
     ("<p>a</div></p>b", "a\n\nb"),
+    ("<table><tr><td>x ||<td><tr><td>|<tr><td>a<td>| b |</table>", "x ||\n|\na    | | b |"),
+    ("<style>@media print{.x{display:none}} @media screen{.y{display:none}} p.z#q{display:none}</style><p class=x>x<p class=y>y<p class=z id=q>z<p class=z>w", "x\n\nw"),
+    ("<svg><title>no</title><text>yes</text></svg> <math><mi>m</mi></math> <object>o</object>", "yes m o"),
+    ("<a href='x>y\">t</a> <b>u", 'y">t u'),
+    ("<table><td colspan=2>wide one<td>c<tr><td>a<td>b<td>d</table>", "wide one | c\na | b | d"),
 ]
 
 
@@ -32,3 +37,38 @@ def test_layout(page, text):
 def test_deep_pages_end():
     assert visible_text("<div>" * 30000 + "x") == "x"
     assert "x" in visible_text("<table><tr><td>" * 200 + "x")
+
+
+def timed(page):
+    import time
+
+    began = time.time()
+    text = visible_text(page)
+    assert time.time() - began < 4
+    return text
+
+
+def test_open_tags_take_linear_time():
+    assert timed("<a " * 200_000).startswith("<a <a")
+    for piece in ('<a b="', "<a b='>\" ", '<a b=">"', "<a b='", '<a "\' >', "<!x", "</script"):
+        timed(piece * 60_000)
+        timed(piece * 60_000 + ">")
+    timed("<script>" + "</script" * 100_000)
+
+
+def test_wide_cells_are_not_padded_to():
+    page = "<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 3000 + "</table>"
+    lines = timed(page).split("\n")
+    assert lines[0] == "x" * 20_000 + " | y" and lines[1:] == ["a | b"] * 3000
+
+
+def test_many_rules():
+    sheet = "".join(f".c{i}{{display:none}}" for i in range(3000))
+    page = f"<style>{sheet}</style>" + "".join(f"<p class=c{i}>no</p><p class=d{i}>yes</p>" for i in range(3000))
+    assert timed(page).split() == ["yes"] * 3000
+
+
+def test_no_word_is_lost_in_deep_tables():
+    page = "<table><tr><td>w<td>" * 60 + "end"
+    for deep in (3, 40):
+        assert [w for w in visible_text(page, deep=deep).split() if w != "|"] == ["w"] * 60 + ["end"]
