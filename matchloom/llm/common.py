@@ -200,6 +200,29 @@ def punctuation(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each range (ordered, apart from each other), whatever stands around it."""
+    out = np.zeros(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(int(np.searchsorted(end, start[first] + PIECE, side="right")), first + 1)
+        base, size = int(start[first]), int(end[last - 1] - start[first])
+        if size > PIECE:  # one word alone
+            size = 0
+        else:
+            up, down = POWERS.both()
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(BYTE[data[base : base + size]] * up[:size], out=total[1:])
+            a, b = start[first:last] - base, end[first:last] - base
+            out[first:last] = (total[b] - total[a]) * down[a]
+        first = last
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        import xxhash
+
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+    return mix(out)
+
+
 def words_of(column: pa.Array, within: np.ndarray = NOT_SPACE, lower: bool = False, signs: bool = False) -> Words:
     """Maximal runs of the bytes ``within`` in the texts of a large_binary column without nulls.
 
@@ -220,26 +243,8 @@ def words_of(column: pa.Array, within: np.ndarray = NOT_SPACE, lower: bool = Fal
     after[:-1] = inside[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    out = np.zeros(len(start), np.uint64)
-    first = 0
-    while first < len(start):
-        last = max(int(np.searchsorted(end, start[first] + PIECE, side="right")), first + 1)
-        base, size = int(start[first]), int(end[last - 1] - start[first])
-        if size > PIECE:  # one word alone
-            size = 0
-        else:
-            up, down = POWERS.both()
-            total = np.zeros(size + 1, np.uint64)
-            np.cumsum(BYTE[data[base : base + size]] * up[:size], out=total[1:])
-            a, b = start[first:last] - base, end[first:last] - base
-            out[first:last] = (total[b] - total[a]) * down[a]
-        first = last
-    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
-        import xxhash
-
-        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return Words(data, offsets, doc, start, end, mix(out))
+    return Words(data, offsets, doc, start, end, range_hashes(data, start, end))
 
 
 class WordHashes(dict):
@@ -273,6 +278,14 @@ def polynomial(x: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15 | 1) -> np.
     return mix(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting (numpy's own way hashes them, which takes longer)."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of consecutive groups of these lengths, and the group of every element."""
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, mapped, mix, polynomial, ragged, row_key, saved, words_of
+from .common import NO_ID, chunks, distinct, mapped, mix, polynomial, ragged, row_key, saved, words_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -213,7 +213,7 @@ def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def size_classes(most: int) -> np.ndarray:
     """Least sizes of the classes of sizes up to ``most``."""
-    return np.unique(np.ceil(GROWTH ** np.arange(int(np.log(max(most, 2)) / np.log(GROWTH)) + 2)).astype(np.int64))
+    return distinct(np.ceil(GROWTH ** np.arange(int(np.log(max(most, 2)) / np.log(GROWTH)) + 2)).astype(np.int64))
 
 
 def first_shingles(ranks: np.ndarray):

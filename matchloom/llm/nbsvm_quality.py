@@ -1,22 +1,21 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams: single words, and runs of one to three
-word shapes (letter case, digits and the other characters of a word; a word
-that repeats the one before it has a shape of its own). Each indicator is
-scaled by the log ratio of its smoothed rates in the two classes, and a linear
-model is fitted on the scaled indicators by dual coordinate descent on the
-squared hinge loss. Margins become probabilities by a logistic curve fitted on
-cross-validated margins, weighted to the class shares of all labelled rows.
+Features are indicators of runs of one to three words, and of runs of one to
+three word shapes (the sequence of a word's capitals, small letters, digits and
+other characters, each kind once where it repeats; a word that repeats the one
+before it has a shape of its own). Each indicator is scaled by the log ratio of
+its smoothed rates in the two classes, and a linear model is fitted on the
+scaled indicators by dual coordinate descent on the hinge loss. Margins become
+probabilities by a logistic curve fitted on cross-validated margins, weighted to
+the class shares of all labelled rows.
 
 Nulls: a null text is the empty text, which has no feature and scores the
 curve's value for the offset; with no labelled rows every score is 0.5. A null id is kept. Repeated rows
-score alike. Empty tables give empty results. Other columns are ignored.
+score alike. Ties: no row's score depends on another's. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -24,61 +23,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, mapped, mix, platt, ragged, text_chunks
+from .common import chunks, distinct, fold, labelled_sample, mapped, mix, platt, range_hashes, words_of
 
 BITS = 20
 PARTS, HELD = 3, 1
 #: Most training rows of either class, and the longest of them in bytes.
 PER_CLASS, MAX_BYTES = 1500, 200_000
-REPEAT = 0x5BD1E995
+REPEAT = np.uint64(0x5BD1E995)
+#: What a byte is in a word's shape: digit, capital, other letter (all bytes outside ASCII), or itself.
+KIND = np.arange(256, dtype=np.uint8)
+KIND[48:58], KIND[65:91], KIND[97:123], KIND[128:] = 1, 2, 3, 3
 
 
-def shape(word: bytes) -> int:
-    """Hash of a word's outline: U, C, l, d for letters and digits, other characters as they are."""
-    text = word.decode("utf-8", "replace")
-    out = []
-    for run in re.findall(r"[^\W\d_]+|\d+|[\W_]+", text)[:6]:
-        if run[0].isdigit():
-            out.append("d")
-        elif run[0].isalpha():
-            out.append("U" if len(run) > 1 and run.isupper() else "C" if run[0].isupper() else "l")
-        else:
-            out.append(run[:4])
-    return zlib.crc32("".join(out).encode()) | 1 << 32
-
-
-class Types(dict):
-    """Word to hash of the word (high half) and of its shape (low 33 bits), kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = (zlib.crc32(word) & 0x3FFFFFFF) << 33 | shape(word)
-        if len(self) > 50_000:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def features(texts: list[bytes], types: Types) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Document index and feature of every distinct n-gram of every text, sorted."""
-    words = [t.split() for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((types[x] for w in words for x in w), np.uint64, int(lengths.sum()))
-    _, doc = ragged(lengths)
-    word, form = flat >> np.uint64(33), flat & np.uint64((1 << 33) - 1)
-    same = np.zeros(len(flat), bool)
-    same[1:] = (flat[1:] == flat[:-1]) & (doc[1:] == doc[:-1])
-    form = np.where(same, np.uint64(REPEAT), form)
-    grams, owners = [mix(word + np.uint64(11 << 40)), mix(form)], [doc, doc]
-    run = form
-    for n in (2, 3):
-        if len(flat) < n:
-            break
-        run = run[:-1] * np.uint64(0x100000001B3) + form[n - 1 :]
-        inside = doc[: len(run)] == doc[n - 1 :]
-        grams.append(mix(run + np.uint64(n << 50))[inside])
-        owners.append(doc[: len(run)][inside])
-    keys = np.unique(np.concatenate(owners) << BITS | (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64))
-    return keys >> BITS, keys & ((1 << BITS) - 1)
+    words = words_of(texts)
+    doc, word = words.doc, words.hash
+    # The shape of a word: its kinds of bytes, each run of one kind as one.
+    kind = KIND[words.data]
+    fresh = np.ones(len(kind), bool)
+    fresh[1:] = kind[1:] != kind[:-1]
+    fresh[words.start] = True
+    place = np.concatenate(([0], np.cumsum(fresh)))
+    form = range_hashes(kind[fresh], place[words.start], place[words.end])
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
+    form = np.where(same, REPEAT, form)
+    keys = []
+    for number, part in enumerate((word, form)):
+        run = part
+        for n in (1, 2, 3):
+            if n > 1:
+                if len(part) < n:
+                    break
+                run = run[:-1] * np.uint64(0x9E3779B97F4A7C15) + part[n - 1 :]
+            inside = doc[: len(run)] == doc[n - 1 :]
+            gram = (mix(run ^ np.uint64((2 * n + number) << 50)) >> np.uint64(64 - BITS)).astype(np.int64)
+            keys.append((doc[: len(run)] << BITS | gram)[inside])
+    found = distinct(np.concatenate(keys))
+    return found >> BITS, found & ((1 << BITS) - 1)
 
 
 class Rows:
@@ -90,9 +73,9 @@ class Rows:
 
     @classmethod
     def of(cls, texts: list[bytes], part: int = 200) -> Rows:
-        types, flat, sizes = Types(), [], []
+        flat, sizes = [], []
         for k in range(0, len(texts), part):
-            doc, feature = features(texts[k : k + part], types)
+            doc, feature = features(pa.array(texts[k : k + part], pa.large_binary()))
             flat.append(feature.astype(np.int32))
             sizes.append(np.bincount(doc, minlength=len(texts[k : k + part])))
         return cls(np.concatenate(flat), np.cumsum(np.concatenate(sizes)))
@@ -109,34 +92,34 @@ class Rows:
         return Rows(flat[keep], np.cumsum(np.bincount(owner[keep], minlength=len(own))))
 
 
-def descend(rows: Rows, y: np.ndarray, scale: np.ndarray, c: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights over scaled indicators and offset, by dual coordinate descent on the squared hinge loss."""
+def descend(rows: Rows, y: np.ndarray, scale: np.ndarray, c: float, epochs: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights over scaled indicators, offset, and the dual variables (0 to c), by dual coordinate descent on the hinge loss."""
     w, bias = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(y))
     values = scale[rows.flat]
     owner = np.repeat(np.arange(len(y)), rows.ends - rows.starts)
-    diagonal = np.bincount(owner, values * values, len(y)) + 1 + 0.5 / c
+    diagonal = np.bincount(owner, values * values, len(y)) + 1
     order = np.arange(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
-        moved = 0.0
+        most = 0.0
         for i in order:
             at, v = rows[i], values[rows.starts[i] : rows.ends[i]]
-            g = y[i] * (w[at] @ v + bias) - 1 + alpha[i] * 0.5 / c
-            new = max(alpha[i] - g / diagonal[i], 0.0)
+            g = y[i] * (w[at] @ v + bias) - 1
+            new = min(max(alpha[i] - g / diagonal[i], 0.0), c)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[at] += step * v
                 bias += step
-                moved = max(moved, abs(step))
                 alpha[i] = new
-        if moved < 1e-4:
+                most = max(most, abs(g))
+        if most < 1e-3:
             break
-    return w, bias
+    return w, bias, alpha
 
 
-def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int], c: float = 0.1, epochs: int = 20, min_rows: int = 3):
+def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int], c: float = 0.05, epochs: int = 30, min_rows: int = 3):
     """Weights of the features in use (ids, values), offset, and the curve's slope and offset."""
     y = np.array([v for _, v in sample], np.int64)
     if len(set(y.tolist())) < 2:
@@ -150,7 +133,7 @@ def fit(sample: list[tuple[bytes, int]], totals: tuple[int, int], c: float = 0.1
         n = [max((y[use] == k).sum(), 1) for k in (0, 1)]
         rate = [(counts[k] + 0.5) / (n[k] + 1) for k in (0, 1)]
         scale = np.where(counts[0] + counts[1] >= min_rows, np.log(rate[1] / rate[0]), 0.0)
-        w, bias = descend(rows.chosen(use, scale != 0), sign[use], scale, c, epochs, 7)
+        w, bias, _ = descend(rows.chosen(use, scale != 0), sign[use], scale, c, epochs, 7)
         return w * scale, bias
 
     rng = np.random.default_rng(5)
@@ -178,9 +161,8 @@ def scorer(model) -> Callable:
         used, values, bias, slope, offset = model
         w = np.zeros(1 << BITS)
         w[used] = values
-        types = Types()
-        for part, texts in text_chunks(batches):
-            doc, feature = features(texts, types)
+        for part, texts in chunks(batches):
+            doc, feature = features(texts)
             margin = np.bincount(doc, w[feature], len(texts)) + bias
             p = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p)], ["doc_id", "held_out", "score"])
@@ -211,9 +193,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
         used, values, bias, slope, offset = model
         w = np.zeros(1 << BITS)
         w[used] = values
-        types = Types()
-        for part, texts in text_chunks(batches):
-            doc, feature = features(texts, types)
+        for part, texts in chunks(batches):
+            doc, feature = features(texts)
             margin = np.bincount(doc, w[feature], len(texts)) + bias
             yield part.filter(pa.array(slope * margin + offset >= 0))
 

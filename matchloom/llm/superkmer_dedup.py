@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mapped, mix, polynomial, ragged, row_key, saved, text_chunks
+from .common import WordHashes, distinct, mapped, mix, polynomial, ragged, row_key, saved, text_chunks
 
 WINDOW = 35
 MINIMISER = 8
@@ -112,7 +112,7 @@ def places(large: int):
         for part in batches:
             h, c = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
             for which, some, size in ((0, h, FILTER_BITS), (1, h[c > large], LARGE_BITS)):
-                at = np.unique(probes(some, size))
+                at = distinct(probes(some, size).ravel())
                 if not len(at):
                     continue
                 word, bit = at >> np.uint64(6), np.left_shift(np.uint64(1), at & np.uint64(63))

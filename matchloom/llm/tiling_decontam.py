@@ -1,9 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits, lower-cased. Runs of five words that a
-document shares with a benchmark item are the seeds: a rolling hash of the
-document's words (Karp-Rabin) is looked up among the item's hashes and the
-words are compared. Seeds on one diagonal join into matches; the longest match
+Words are runs of letters and digits in lower case (signs outside ASCII
+separate them too). Runs of five words that a document shares with a benchmark
+item are the seeds: a rolling hash of the document's words (Karp-Rabin) is
+looked up among the items' hashes, and the words' own hashes are compared.
+Items are found by their rarest seeds only: a document that covers enough of an
+item has so many of its seeds that it must have one of these, and an opening
+that many items share brings up none of them. Seeds on one diagonal join into matches; the longest match
 whose words are still free is marked first, matches that overlap marked words
 are cut to what is free of them, and so on until none of five words is left.
 An item is leaked when the marked tiles cover enough of its words, in whatever
@@ -12,26 +15,26 @@ order the document has them.
 The benchmark is read in blocks of bounded size; each block is sent to the
 workers, and the documents pass by once per block.
 
-Nulls: null or short texts match nothing; items of fewer than five words are
-left out, as they cannot tell a leak from chance. Null ids are kept. Rows that
-repeat are judged alike. Empty tables give empty results. Other columns are
-ignored.
+Nulls: null or short texts match nothing. An item of fewer than five words is
+one tile: it is leaked where all its words stand in a row; an item without words
+is never leaked. Null ids are kept. Rows that repeat are judged alike. Ties: of
+equally long matches the one first in the document, then in the item, is marked
+first. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary, mapped, polynomial, ragged, saved, text_chunks
+from .common import ALNUM, Words, binary, chunks, distinct, mapped, mix, polynomial, saved, words_of
 
-TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 TILE = 5
 #: Least share of an item's words under tiles.
 COVERAGE = 0.6
@@ -39,24 +42,20 @@ COVERAGE = 0.6
 BLOCK_BYTES = 8 << 20
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return TOKEN.findall(text.decode("utf-8", "ignore").lower().encode())
+def tokens(texts: pa.Array) -> Words:
+    return words_of(pc.cast(pc.utf8_lower(pc.cast(texts, pa.large_string())), pa.large_binary()), ALNUM, signs=True)
 
 
-def tiles(pairs: list[tuple[int, int]], n_left: int, n_right: int, least: int = TILE) -> list[tuple[int, int, int]]:
+def tiles(pairs, n_left: int, n_right: int, least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy tiling from all positions (i, j) at which ``least`` words agree: tiles (i, j, length), no word in two."""
-    by: dict[int, list[int]] = {}
-    for i, j in pairs:
-        by.setdefault(i - j, []).append(i)
-    heap = []
-    for shift, starts in by.items():
-        starts.sort()
-        first = last = starts[0]
-        for i in [*starts[1:], None]:
-            if i is None or i > last + 1:
-                heap.append((-(last - first + least), first, first - shift))
-                first = i
-            last = i
+    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+    order = np.lexsort((i, i - j))
+    i, j = i[order], j[order]
+    fresh = np.ones(len(i), bool)
+    fresh[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    length = np.diff(np.append(first, len(i))) + least - 1
+    heap = list(zip((-length).tolist(), i[first].tolist(), j[first].tolist(), strict=True))
     heapq.heapify(heap)
     left, right, out = bytearray(n_left), bytearray(n_right), []
     while heap:
@@ -95,54 +94,115 @@ def blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
         yield now
 
 
+def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word of every run of ``n`` words inside one text, and the run's hash."""
+    runs = polynomial(words.hash, n)
+    at = np.flatnonzero(words.doc[: len(runs)] == words.doc[n - 1 :]) if len(runs) else np.zeros(0, np.int64)
+    return at, runs[at]
+
+
 class Index:
-    """Seeds of a block of items: sorted hashes and where each stands."""
-
-    def __init__(self, block: list[tuple[int, bytes]], seed: int):
-        words = WordHashes(seed)
-        kept = [(i, t) for i, t in ((i, tokens(t)) for i, t in block) if len(t) >= TILE]
-        self.ids = [i for i, _ in kept]
-        self.words = [t for _, t in kept]
-        lengths = np.array([len(t) for t in self.words], np.int64)
-        starts, item = ragged(lengths)
-        grams = polynomial(words.of([w for t in self.words for w in t]), TILE)
-        inside = item[: len(grams)] == item[TILE - 1 :] if len(grams) else np.zeros(0, bool)
-        at = np.flatnonzero(inside)
-        order = np.argsort(grams[at], kind="stable")
-        self.hash = grams[at][order]
-        self.item = item[at][order]
-        self.place = at[order] - starts[self.item]
-
-
-def finder(index: Index, seed: int, coverage: float):
+    """The items of a block: their words' hashes, and for each length of seeds the rarest seeds by which items are found."""
+
+    def __init__(self, block: list[tuple[int, bytes]], coverage: float):
+        words = tokens(pa.array([t for _, t in block], pa.large_binary()))
+        self.ids = [i for i, _ in block]
+        self.sizes = words.lengths
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.hash = words.hash
+        self.seed = np.minimum(self.sizes, TILE)
+        # The seed that begins at each word, as far as the item has one there.
+        self.run, self.begins = np.zeros(len(self.hash), np.uint64), np.zeros(len(self.hash), bool)
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(self.seed[self.seed > 0]).tolist():
+            at, runs = grams(words, n)
+            own = self.seed[words.doc[at]] == n
+            self.run[at[own]], self.begins[at[own]] = runs[own], True
+            item, runs = words.doc[at][own], runs[own]
+            _, which, often = np.unique(runs, return_inverse=True, return_counts=True)
+            order = np.lexsort((runs, often[which], item))
+            item, runs = item[order], runs[order]
+            many = np.bincount(item, minlength=len(block))
+            # Fewest seeds that can cover enough; one of them is among the rarest that are left when so many are taken away.
+            need = np.maximum(np.ceil(np.ceil(coverage * self.sizes - 1e-9) / n), 1).astype(np.int64)
+            nth = np.arange(len(item)) - (np.cumsum(many) - many)[item]
+            keep = nth <= (many - need)[item]
+            item, runs = item[keep], runs[keep]
+            order = np.argsort(runs, kind="stable")
+            self.keys[n] = runs[order], item[order]
+
+    def words_of(self, item: int) -> np.ndarray:
+        return self.hash[self.starts[item] : self.starts[item] + self.sizes[item]]
+
+
+def shared(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Positions (i, j) at which ``n`` words of both agree."""
+    a, b = polynomial(left, n), polynomial(right, n)
+    order = np.argsort(a, kind="stable")
+    low, high = np.searchsorted(a[order], b, side="left"), np.searchsorted(a[order], b, side="right")
+    j = np.repeat(np.arange(len(b)), high - low)
+    nth = np.arange(len(j)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    i = order[low[j] + nth] if len(j) else np.zeros(0, np.int64)
+    same = np.ones(len(i), bool)
+    for k in range(n):
+        same &= left[i + k] == right[j + k]
+    return np.stack([i[same], j[same]], 1)
+
+
+def reachable(index: Index, words: Words, doc: np.ndarray, item: np.ndarray, coverage: float, most: int = 1 << 20) -> np.ndarray:
+    """Which pairs of a document and an item have seeds that cover enough of the item, in whatever way they overlap."""
+    of = np.zeros(len(words.offsets) - 1, bool)
+    of[doc] = True
+    known = []
+    for n in index.keys:
+        at, runs = grams(words, n)
+        some = of[words.doc[at]]
+        known.append(mix(runs[some] ^ mix(words.doc[at[some]].astype(np.uint64) + np.uint64(1))))
+    known = distinct(np.concatenate(known))
+    out = np.zeros(len(doc), bool)
+    ends = np.cumsum(index.sizes[item])
+    for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(ends // most)) + 1):
+        size = index.sizes[item[part]]
+        first = np.cumsum(size) - size
+        at = np.repeat(index.starts[item[part]] - first, size) + np.arange(size.sum())
+        key = mix(index.run[at] ^ mix(np.repeat(doc[part], size).astype(np.uint64) + np.uint64(1)))
+        hit = index.begins[at] & (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+        covered, wide = hit.copy(), np.repeat(index.seed[item[part]], size)
+        for k in range(1, TILE):
+            covered[k:] |= (hit & (wide > k))[:-k]
+        out[part] = np.add.reduceat(covered, first, dtype=np.int64) >= coverage * size
+    return out
+
+
+def finder(index: Index, coverage: float):
     """A function for mapInArrow from (doc_id, text) to the leaks found."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes(seed)
-        for part, texts in text_chunks(batches):
-            docs = [tokens(t) for t in texts]
-            lengths = np.array([len(d) for d in docs], np.int64)
-            starts, owner = ragged(lengths)
-            grams = polynomial(words.of([w for d in docs for w in d]), TILE)
-            inside = owner[: len(grams)] == owner[TILE - 1 :] if len(grams) else np.zeros(0, bool)
-            low = np.searchsorted(index.hash, grams, side="left")
-            high = np.searchsorted(index.hash, grams, side="right")
-            seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for p in np.flatnonzero(inside & (high > low)).tolist():
-                d = int(owner[p])
-                i = p - int(starts[d])
-                for k in range(int(low[p]), int(high[p])):
-                    item, j = int(index.item[k]), int(index.place[k])
-                    if docs[d][i : i + TILE] == index.words[item][j : j + TILE]:
-                        seeds.setdefault((d, item), []).append((i, j))
+        for part, texts in chunks(batches):
+            words = tokens(texts)
+            starts = np.cumsum(words.lengths) - words.lengths
+            met = []
+            for n, (keys, items) in index.keys.items():
+                at, runs = grams(words, n)
+                low, high = np.searchsorted(keys, runs, side="left"), np.searchsorted(keys, runs, side="right")
+                some = np.flatnonzero(high > low)
+                count = (high - low)[some]
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                met.append(np.repeat(words.doc[at[some]], count) * len(index.ids) + items[np.repeat(low[some], count) + nth])
             ids = part.column(0).to_pylist()
             rows = []
-            for (d, item), pairs in seeds.items():
-                size = len(index.words[item])
-                if len({j for _, j in pairs}) * TILE < coverage * size:
-                    continue  # even apart, these seeds cannot cover enough
-                found = tiles(pairs, len(docs[d]), size)
-                covered = sum(n for _, _, n in found)
+            pairs = distinct(np.concatenate(met)) if met else np.zeros(0, np.int64)
+            if len(pairs):
+                pairs = pairs[reachable(index, words, *np.divmod(pairs, len(index.ids)), coverage)]
+            for pair in pairs.tolist():
+                d, item = divmod(pair, len(index.ids))
+                size, n = int(index.sizes[item]), int(index.seed[item])
+                own = words.hash[starts[d] : starts[d] + words.lengths[d]]
+                places = shared(own, index.words_of(item), n)
+                if not len(places):
+                    continue
+                found = tiles(places, len(own), size, n)
+                covered = sum(length for _, _, length in found)
                 if covered >= coverage * size:
                     rows.append((ids[d], index.ids[item], covered, size, len(found)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -162,7 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
     out = spark.createDataFrame([], schema)
     found = []
     for block in blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), block_bytes):
-        found.append(mapped(rows, finder(Index(block, 3), 3, coverage), schema))
+        found.append(mapped(rows, finder(Index(block, coverage), coverage), schema))
     for one in found:
         out = one if len(found) == 1 else out.union(saved(one))
     return out.withColumn("coverage", F.col("covered") / F.col("n_words"))
@@ -172,7 +232,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
     """The rows of ``docs`` that leak no item, all columns as they were."""
     names = docs.columns
     for block in blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), block_bytes):
-        find = finder(Index(block, 3), 3, coverage)
+        find = finder(Index(block, coverage), coverage)
 
         def keep(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -418,14 +418,89 @@ def test_leaks(spark, docs, empty):
         out = tiling_decontam.leaks(docs, bench, block_bytes=bound)
         got = Counter((r.doc_id, r.item_id) for r in out.collect())
         holders = [i for i, t, *_ in ROWS if t and t.startswith(PROSE)]
-        want = Counter((i, k) for i in holders for k in (1, 2)) + Counter({(10, None): 1, (11, None): 1})
+        want = Counter((i, k) for i in holders for k in (1, 2)) + Counter({(10, None): 1, (11, None): 1, (6, 5): 1, (7, 5): 1})
         assert got == want
         kept = tiling_decontam.clean(docs, bench, block_bytes=bound)
-        assert kept.columns == docs.columns and kept.count() == len(ROWS) - len(holders) - 2
+        assert kept.columns == docs.columns and kept.count() == len(ROWS) - len(holders) - 4
     assert tiling_decontam.leaks(empty, bench).count() == 0 and tiling_decontam.clean(empty, bench).count() == 0
     assert tiling_decontam.leaks(docs, bench.limit(0)).count() == 0 and tiling_decontam.clean(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_leaks_against_all_pairs(spark):
+    """The whole query against tiling every document with every item, items with a common opening and repeated words among them."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(60)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    opening = some(12)
+    items = [(i, opening + some(rng.randrange(4, 30))) for i in range(25)] + [(25 + i, some(rng.choice([1, 3, 5, 9, 40]))) for i in range(15)] + [(40, ["a"] * 12), (41, [])]
+    docs = []
+    for d in range(60):
+        words = some(30)
+        for _, item in rng.sample(items, 2):
+            half = len(item) // 2
+            words += rng.choice([item, item[half:] + ["x"] + item[:half], item[: len(item) * 2 // 3]]) + some(5)
+        docs.append((d, words + ["a"] * rng.choice([0, 4, 30])))
+    shown = lambda rows: [(i, ", ".join(w).upper() if i % 2 else "  ".join(w)) for i, w in rows]
+    out = tiling_decontam.leaks(frame(spark, [(*r, "en", "s") for r in shown(docs)]), spark.createDataFrame(shown(items), "item_id long, text string"))
+    want = set()
+    for d, words in docs:
+        for k, item in items:
+            n = min(5, len(item))
+            pairs = [(i, j) for i in range(len(words) - n + 1) for j in range(len(item) - n + 1) if words[i : i + n] == item[j : j + n]] if n else []
+            found = tiles(pairs, len(words), len(item), n) if pairs else []
+            if found and sum(x[2] for x in found) >= 0.6 * len(item):
+                want.add((d, k, sum(x[2] for x in found), len(found)))
+    assert len(want) > 60 and re.match("v", vocabulary[0])
+    assert {(r.doc_id, r.item_id, r.covered, r.n_tiles) for r in out.collect()} == want
+
+
+def test_one_opening_of_many_items():
+    import time
+
+    import pyarrow as pa
+
+    opening = " ".join(f"o{i}" for i in range(9))
+    block = [(i, f"{opening} {' '.join(f'i{i}x{j}' for j in range(9))}".encode()) for i in range(20_000)]
+    index = tiling_decontam.Index(block, 0.6)
+    text = f"{opening} " * 50 + block[77][1].decode()
+    began = time.time()
+    got = list(tiling_decontam.finder(index, 0.6)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])])))
+    assert time.time() - began < 1
+    assert [b.column(1).to_pylist() for b in got] == [[77]]
+
+
+def test_dual_optimum():
+    """Primal and dual value of the fitted hinge loss meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    own = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(80)]
+    rows = nbsvm_quality.Rows(np.concatenate(own).astype(np.int32), np.cumsum([8] * 80))
+    y = np.where(rng.random(80) < 0.5, 1.0, -1.0)
+    scale, c = rng.normal(size=40), 0.3
+    w, bias, alpha = nbsvm_quality.descend(rows, y, scale, c, 2000, 1)
+    x = np.zeros((80, 41))
+    for i, at in enumerate(own):
+        x[i, at] = scale[at]
+    x[:, 40] = 1
+    whole = np.append(w, bias)
+    assert whole == pytest.approx((alpha * y) @ x)
+    primal = 0.5 * whole @ whole + c * np.maximum(1 - y * (x @ whole), 0).sum()
+    dual = alpha.sum() - 0.5 * whole @ whole
+    assert 0 <= primal - dual <= 0.01 * primal
+
+
+def test_word_pairs_are_features():
+    import pyarrow as pa
+
+    rows = lambda t: set(nbsvm_quality.features(pa.array([t.encode()], pa.large_binary()))[1].tolist())
+    assert len(rows("ab cd") - rows("cd ab")) == 1 and len(rows("ab cd ef") - rows("ab cd")) >= 3
+    assert rows("x" * 30 + "9" * 30) & rows("yy99") and len(rows("a-b_c.d/e,f;g") & rows("a-b_c.d/e,f:g")) == 0
+
+
 def test_tiles():
     """Against marking the longest free match again and again."""
     import random
