@@ -9,9 +9,12 @@ meets the next one. Words are moved, not copies, so a source's taken words
 stay at its target but for its very last row. Groups of bounded size settle
 their own rows and hand one open row each to the next level, as a reduction
 tree: a level has a fixed share of the groups of the level before, whatever a
-source's share of the rows is, and no group holds more than a few hundred.
+source's share of the rows is. Rows are numbered in the order of text and id, and
+dealt to groups by a hash of that number, so rows that repeat are spread like any
+others, and the rows of a group are around ``FANIN``.
 
-Random numbers are hashes of a seed and the rows' keys, so reruns agree.
+Random numbers are hashes of a seed, the rows' keys and their numbers, so reruns
+agree. Ties: rows that agree in id, text and source are interchangeable.
 Everything here is DataFrame operations.
 
 Nulls: a null text has no words and is never taken; a null source is a source
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, SPACE, row_key, saved
@@ -71,16 +74,16 @@ def chance(*keys: Column) -> Column:
 
 
 def settle(rows: DataFrame, group: list[str], last: bool) -> DataFrame:
-    """One level: rows (source, key1, key2, size, p, ...) of each group meet in turn; result has ``open`` on the row left over."""
-    item = F.struct("size", "key1", "key2", "p", "doc_id", "base", "source_size", "target")
+    """One level: rows (source, key1, key2, key3, size, p, ...) of each group meet in turn; result has ``open`` on the row left over."""
+    item = F.struct("size", "key1", "key2", "key3", "p", "row", "doc_id", "base", "source_size", "target")
     ordered = F.reverse(F.array_sort(F.collect_list(item)))  # large ones first, so that a small one is left over
-    kind = "struct<size:bigint,key1:bigint,key2:bigint,p:double,doc_id:bigint,base:bigint,source_size:bigint,target:double>"
+    kind = "struct<size:bigint,key1:bigint,key2:bigint,key3:bigint,p:double,row:bigint,doc_id:bigint,base:bigint,source_size:bigint,target:double>"
 
     def meet(state: Column, x: Column) -> Column:
         a, done = state["held"], state["done"]
         up = F.least((1 - a["p"]) * a["size"], x["p"] * x["size"])  # words that a could gain
         down = F.least((1 - x["p"]) * x["size"], a["p"] * a["size"])  # words that x could gain
-        gain = chance(a["key1"], a["key2"], x["key1"], x["key2"]) * (up + down) < down
+        gain = chance(a["key1"], a["key2"], a["key3"], x["key1"], x["key2"], x["key3"]) * (up + down) < down
         full_a = (1 - a["p"]) * a["size"] <= x["p"] * x["size"]
         full_x = (1 - x["p"]) * x["size"] <= a["p"] * a["size"]
         put = lambda row, p: row.withField("p", p)
@@ -103,7 +106,7 @@ def settle(rows: DataFrame, group: list[str], last: bool) -> DataFrame:
     end = rows.groupBy(*group).agg(ordered.alias("items")).select(*group, F.aggregate("items", start, meet).alias("s"))
     left = F.col("s.held")
     if last:
-        won = (chance(left["key1"], left["key2"]) < left["p"]).cast("double")
+        won = (chance(left["key1"], left["key2"], left["key3"]) < left["p"]).cast("double")
         both = F.array_append(F.col("s.done"), left.withField("p", won).cast(kind))
         return end.select("source", "bucket", F.explode(both).alias("x"), F.lit(False).alias("open"))
     tagged = F.concat(
@@ -113,32 +116,34 @@ def settle(rows: DataFrame, group: list[str], last: bool) -> DataFrame:
     return end.select("source", "bucket", F.explode(tagged).alias("y")).select("source", "bucket", "y.x", "y.open")
 
 
-def mixture(docs: DataFrame, fanin: int = FANIN) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and the row's key (__k1, __k2) for every row of ``docs``."""
+def _mixture(docs: DataFrame, fanin: int) -> DataFrame:
+    """As ``mixture``, with the column __row of ``docs`` carried along."""
     rows = saved(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size"), *row_key())
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size"), *row_key(), "__row")
     )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The place of a row among all rows; rows that agree in everything else come in any order.
+    numbered = running_sums(rows, ["__k1", "__k2", F.col("source").asc_nulls_first(), "__row"], {"__n": "1L"}, parts)
     figures = targets(saved(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     # Equal keys on both sides with a salt, so that a source with most of the rows is dealt to many tasks.
-    salted = rows.withColumn("__salt", F.pmod("__k1", F.lit(SALTS)))
+    salted = numbered.withColumn("__salt", F.pmod("__n", F.lit(SALTS)))
     wide = figures.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).withColumnRenamed("source", "__s")
     joined = salted.join(wide, (F.col("source").eqNullSafe(F.col("__s"))) & (salted["__salt"] == wide["__salt"])).drop(salted["__salt"]).drop("__salt", "__s")
     copies = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     given = saved(joined.withColumn("__c", copies).withColumn("base", F.floor("__c")).withColumn("p", F.col("__c") - F.col("base")))
     result = lambda p: [
-        "doc_id", "source", "size", "source_size", "target", ((F.col("base") + p) * F.col("size")).cast("long").alias("taken"),
-        F.col("__k1"), F.col("__k2"),
+        "doc_id", "source", "size", "source_size", "target", ((F.col("base") + p) * F.col("size")).cast("long").alias("taken"), "__row",
     ]
     out = [given.where("p = 0").select(*result(F.lit(0)))]
     buckets = max(1, math.ceil(given.count() / fanin))
     level = given.where("p > 0").select(
-        "source", F.col("__k1").alias("key1"), F.col("__k2").alias("key2"), "size", "p", "doc_id", "base", "source_size", "target",
-        F.pmod(F.xxhash64("__k2", "__k1"), F.lit(buckets)).alias("bucket"),
+        "source", F.col("__k1").alias("key1"), F.col("__k2").alias("key2"), F.col("__n").alias("key3"), "size", "p", F.col("__row").alias("row"),
+        "doc_id", "base", "source_size", "target", F.pmod(F.xxhash64("__n", F.lit(SEED)), F.lit(buckets)).alias("bucket"),
     )
     while True:
         met = saved(settle(level, ["source", "bucket"], buckets == 1))
         flat = met.select("source", "bucket", "x.*", "open")
-        out.append(flat.where("not open").withColumns({"__k1": F.col("key1"), "__k2": F.col("key2")}).select(*result(F.col("p").cast("long"))))
+        out.append(flat.where("not open").withColumn("__row", F.col("row")).select(*result(F.col("p").cast("long"))))
         if buckets == 1:
             break
         buckets = math.ceil(buckets / fanin)
@@ -149,12 +154,16 @@ def mixture(docs: DataFrame, fanin: int = FANIN) -> DataFrame:
     return whole
 
 
+def mixture(docs: DataFrame, fanin: int = FANIN) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken for every row of ``docs``."""
+    return _mixture(docs.select("doc_id", "source", "text").withColumn("__row", F.monotonically_increasing_id()), fanin).drop("__row")
+
+
 def mixed(docs: DataFrame, fanin: int = FANIN) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns as they were."""
     names = docs.columns
-    taken = mixture(docs, fanin).select("__k1", "__k2", (F.col("taken") / F.greatest("size", F.lit(1))).cast("long").alias("__times"))
-    # Rows that agree in id and text may be taken differently: the n-th copy of a row gets the n-th number.
-    nth = Window.partitionBy("__k1", "__k2").orderBy("__order")
-    left = docs.select(*names, *row_key()).withColumn("__order", F.lit(0)).withColumn("__nth", F.row_number().over(nth))
-    right = taken.where("__times > 0").withColumn("__order", -F.col("__times")).withColumn("__nth", F.row_number().over(nth)).drop("__order")
-    return left.join(right, ["__k1", "__k2", "__nth"]).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(names)
+    # Written with their numbers, which are then the same wherever they are read.
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
+    times = (F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    taken = saved(_mixture(rows, fanin).select("__row", times.alias("__times")).where("__times > 0"))
+    return rows.join(taken, "__row").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(names)

@@ -297,6 +297,30 @@ def test_shards_of_one_hot_text(spark):
     assert len(per) == 8 and per.max() - per.min() <= 2 * out["size"].max()
 
 
+def test_shards_and_mix_of_one_repeated_row(spark):
+    """A third of all rows agree in everything: they are dealt like others, and no group or range grows with them."""
+    from matchloom.llm.pivotal_mix import _mixture
+
+    rows = [(7, "the same row", "en", "s") if i % 3 == 0 else (i, f"text number {i} " + "x " * (i % 50), "en", "st"[i % 2]) for i in range(6000)]
+    out = range_shards.shard_rows(frame(spark, rows)).toPandas()
+    per = out.groupby("shard")["size"].sum()
+    assert len(out) == 6000 and len(per) == 8 and per.max() - per.min() <= 0.03 * per.mean()
+    for _, slots in out.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
+    whole = range_shards.sharded(frame(spark, rows))
+    assert Counter(r.doc_id for r in whole.select("doc_id").collect()) == Counter(r[0] for r in rows)
+    mix = pivotal_mix.mixture(frame(spark, rows)).toPandas()
+    for _, own in mix.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max()
+    again = pivotal_mix.mixture(frame(spark, rows).repartition(5)).toPandas()
+    key = ["doc_id", "source", "size", "taken"]
+    assert again[key].sort_values(key).values.tolist() == mix[key].sort_values(key).values.tolist()
+    taken = pivotal_mix.mixed(frame(spark, rows)).select("text").collect()
+    assert abs(sum(len(r.text.split()) for r in taken) - mix.target.groupby(mix.source).first().sum()) <= 120
+    numbered = frame(spark, rows).withColumn("__row", F.monotonically_increasing_id())
+    assert _mixture(numbered, 64).select("__row").distinct().count() == 6000
+
+
 def test_shards_keep_equal_texts_together(spark):
     rows = [(i, f"text number {i // 3} " + "x" * (i // 3 % 50), "en", "s") for i in range(6000)]
     out = range_shards.shard_rows(frame(spark, rows)).toPandas()
