@@ -135,8 +135,9 @@ base as (
   select rid, kind, begins, begins + length(s) as till from found
   where (kind = 0 and length(regexp_extract(s, '{grouped}', 2)) >= 6) or (kind = 1 and length(s) >= 20) or (kind = 2 and length(s) >= 24)),
 token as (
-  select rid, begins, begins + length(s) as till, length(s)::double as n, string_split(s, '') as c, len(regexp_extract_all(s, '[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+')) - 1.0 as changes,
-    case when regexp_matches(s, '{codes["hex"]}') then 0 when regexp_matches(s, '{codes["base32"]}') then 1 else 2 end as e from found where kind = 3),
+  select rid, begins, till, length(s)::double as n, string_split(s, '') as c, len(regexp_extract_all(s, '[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+')) - 1.0 as changes,
+    case when regexp_matches(s, '{codes["hex"]}') then 0 when regexp_matches(s, '{codes["base32"]}') then 1 else 2 end as e
+  from (select rid, begins, begins + length(s) as till, rtrim(s, '=') as s from found where kind = 3)),
 measured as (
   select *, [16.0, 32.0, 64.0][e + 1]::double as k, [10.0, 26.0, 26.0][e + 1]::double as own, [0.46875, 0.3046875, 0.634765625][e + 1]::double as r,
     list_sum([x * x for x in map_values(list_histogram(c))])::double as q, [ascii(x)::double for x in c] as a from token),

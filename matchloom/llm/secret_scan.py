@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests.
 
 Patterns find assignments, access keys and long hexadecimal runs. Besides, every
-long token of letters, digits and ``+/_-`` is tested. Its encoding is inferred
+long token of letters, digits and ``+/_-`` is tested (without the ``=`` that may fill it up). Its encoding is inferred
 (hexadecimal, base 32 or base 64). Three tests ask whether the token could be
 random in that encoding, and drop it if one says no: chi-squared uniformity of
 its symbols, the number of runs of one character class, and the correlation of
@@ -17,7 +17,7 @@ Everything here is DataFrame operations, and local to a row but for those counts
 Positions count code points; ends are exclusive.
 
 Nulls: a null text is empty. A null id is kept. Rows that repeat are rows of
-their own. Empty tables give empty results. Other columns are ignored.
+their own. Ties: spans of one start come in the order of their kinds. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,20 +48,40 @@ ENCODINGS = {"hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16, 10), "base32": (r"^[A-Z2-
 #: Lower ends of the lengths that form strata.
 LENGTHS = (20, 28, 40, 64)
 STEP = 0.125
+#: Pieces of a text whose places are found together.
+BLOCK = 64
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as structs (start, end, s), from the pieces of text between them."""
+    """All leftmost non-overlapping matches as structs (start, end, s), from the pieces of text between them.
+
+    Pieces are taken ``BLOCK`` at a time: the lengths of whole blocks are added up first, then each block's own pieces,
+    so the work grows with the matches and not with their square.
+    """
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("s"))
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.zip_with(gaps, found, lambda gap, s: F.struct(F.length(gap).alias("gap"), s.alias("s")))  # the last gap has no match
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, BLOCK))
+    blocks = F.element_at(F.transform(F.array(pieces), cut), 1)  # the pieces as a bound name, found once and not for every block
+    extent = lambda x: x["gap"] + F.coalesce(F.length(x["s"]), F.lit(0))
+
+    def follow(state: Column, block: Column) -> Column:
+        """The blocks so far, each with where it starts."""
+        entry = F.struct(state["at"].alias("at"), block.alias("block"))
+        return F.struct(
+            F.aggregate(block, state["at"], lambda n, x: n + extent(x)).alias("at"),
+            F.array_append(state["out"], entry).alias("out"),
+        )
 
     def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
+        start = state["at"] + x["gap"]
         end = start + F.coalesce(F.length(x["s"]), F.lit(0))
         new = F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"))
         return F.struct(end.alias("at"), F.when(x["s"].isNull(), state["out"]).otherwise(F.array_append(state["out"], new)).alias("out"))
 
-    walk = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    empty = F.array().cast("array<struct<at:int,block:array<struct<gap:int,s:string>>>>")
+    placed = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), follow, lambda s: s["out"])
+    walk = F.flatten(F.transform(placed, lambda z: F.aggregate(z["block"], F.struct(z["at"].alias("at"), none.alias("out")), add, lambda s: s["out"])))
     return F.when(text.rlike(pattern), walk).otherwise(none)
 
 
@@ -75,8 +95,9 @@ def as_spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
 
 
-def battery(token: Column) -> Column:
+def battery(span: Column) -> Column:
     """struct(stratum, level) of a token: encoding and length, and its combined score in steps (null: not random)."""
+    token = F.rtrim(span, F.lit("="))
     n = F.length(token).cast("double")
     letters = F.split(token, "")
 
