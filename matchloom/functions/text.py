@@ -60,6 +60,12 @@ def normalize_exact(values: pd.Series) -> pd.Series:
     return values.fillna("").map(plain)
 
 
+def normalize_full(c: Column | str) -> Column:
+    """The exact normalization: text outside ASCII goes through ``normalize_exact``, all other text stays in the JVM."""
+    other = contains_non_ascii(c)
+    return F.when(other, normalize_exact(F.when(other, text(c)))).otherwise(normalize(c))
+
+
 def tokens(norm: Column | str) -> Column:
     """Tokens of a normalized string, in order."""
     return F.filter(F.split(text(norm), " "), lambda t: t != "")

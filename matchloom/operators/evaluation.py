@@ -199,3 +199,11 @@ def curves(scored: DataFrame) -> DataFrame:
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / (F.sum("p") * F.sum("n"))
     precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")
     return run.agg(F.round(area, 6).alias("roc_auc"), F.round(precision, 6).alias("average_precision"))
+
+
+def truth_by_source(entities: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per country and which sources an entity has links in (their prefixes joined by +, none): entities, links, and the most links of one entity."""
+    source = F.substring_index("c_id", "-", 1)
+    per = truth.select("q_id", "c_id").distinct().groupBy("q_id").agg(F.count("*").alias("links"), F.array_join(F.array_sort(F.collect_set(source)), "+").alias("sources"))
+    every = entities.join(per, "q_id", "left").fillna({"links": 0, "sources": "none"})
+    return every.groupBy("country", "sources").agg(F.count("*").alias("entities"), F.sum("links").alias("links"), F.max("links").alias("most"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fuzzy import ratio, token_set_ratio, token_sort_ratio
+from ..functions.fuzzy import ratio_struct
 from ..functions.translit import transliterate
 
 PROVENANCE = (
@@ -20,21 +20,24 @@ def registry(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("entity_id").alias("id"),
         T.text("country").alias("country"),
-        T.normalize("business_name").alias("name"),
-        T.normalize("business_address").alias("address"),
+        T.normalize_full("business_name").alias("name"),
+        T.normalize_full("business_address").alias("address"),
         T.text("business_name").alias("raw_name"),
     )
 
 
-def prepared(rows: DataFrame, side: str) -> DataFrame:
-    """What the features need of a record, computed once per record and not per pair: one struct named ``side``."""
+def prepared(rows: DataFrame, side: str, spelled: str = "raw_name") -> DataFrame:
+    """What the features need of a record, computed once per record and not per pair: one struct named ``side``.
+
+    ``spelled`` is the column that is spelled in Latin letters.
+    """
     return rows.select(
         F.col("id").alias(f"{side}_id"),
         F.struct(
             F.col("name"),
             F.col("address"),
             T.without_legal_forms("name").alias("bare"),
-            transliterate("raw_name").alias("latin"),
+            transliterate(spelled).alias("latin"),
             T.token_set("name").alias("tokens"),
             T.meaningful_tokens("name").alias("meaningful"),
             T.char_ngrams("name").alias("grams"),
@@ -91,20 +94,27 @@ def plain_features(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
-def ratio_features(a: Column, b: Column) -> dict[str, Column]:
-    """Features by longest common subsequences, as shares of 1."""
-    named = {
-        "name_ratio": (ratio, "name"), "name_token_sort": (token_sort_ratio, "name"), "name_token_set": (token_set_ratio, "name"),
-        "legal_suffix_stripped_ratio": (ratio, "bare"), "legal_suffix_stripped_token_set": (token_set_ratio, "bare"),
-        "translit_name_ratio": (ratio, "latin"), "translit_name_token_sort": (token_sort_ratio, "latin"), "translit_name_token_set": (token_set_ratio, "latin"),
-        "address_ratio": (ratio, "address"), "address_token_sort": (token_sort_ratio, "address"), "address_token_set": (token_set_ratio, "address"),
-    }
-    return {name: function(a[field], b[field]) / 100 for name, (function, field) in named.items()}
+#: The features that are ratios, with the kind of ratio and the field of the prepared records.
+RATIOS = {
+    "name_ratio": ("ratio", "name"), "name_token_sort": ("sort", "name"), "name_token_set": ("set", "name"),
+    "legal_suffix_stripped_ratio": ("ratio", "bare"), "legal_suffix_stripped_token_set": ("set", "bare"),
+    "translit_name_ratio": ("ratio", "latin"), "translit_name_token_sort": ("sort", "latin"), "translit_name_token_set": ("set", "latin"),
+    "address_ratio": ("ratio", "address"), "address_token_sort": ("sort", "address"), "address_token_set": ("set", "address"),
+}
+ratios = ratio_struct(RATIOS)
+
 
+def ratio_fields(a: Column, b: Column) -> Column:
+    """What ``ratios`` takes, from two prepared records."""
+    fields = sorted({field for _, field in RATIOS.values()})
+    return F.struct(*[side[f].alias(f"{f}_{name}") for f in fields for side, name in ((a, "a"), (b, "b"))])
 
-def joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The pairs (q_id, c_id and what else they have) with both prepared records."""
-    return pairs.join(prepared(left, "q"), "q_id").join(prepared(right, "c"), "c_id")
+
+def joined(pairs: DataFrame, left: DataFrame, right: DataFrame, target_spelling: str = "raw_name") -> DataFrame:
+    """The pairs (q_id, c_id and what else they have) with both prepared records. Fails at a pair whose record is not there."""
+    both = pairs.join(prepared(left, "q"), "q_id", "left").join(prepared(right, "c", target_spelling), "c_id", "left")
+    known = lambda side, id_: F.when(F.col(side).isNotNull(), F.col(side)).otherwise(F.raise_error(F.concat(F.lit("no record with the id "), F.col(id_).cast("string"))))
+    return both.withColumns({"q": known("q", "q_id"), "c": known("c", "c_id")})
 
 
 def provenance(pairs: DataFrame) -> dict[str, Column]:
@@ -115,12 +125,17 @@ def provenance(pairs: DataFrame) -> dict[str, Column]:
     return out | {"blocker_count": sum((have(c) for c in flags[1:]), have(flags[0]))}
 
 
-def pair_features(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The pairs with all 48 features."""
+def pair_features(pairs: DataFrame, left: DataFrame, right: DataFrame, target_spelling: str = "raw_name") -> DataFrame:
+    """The pairs with all 48 features.
+
+    Names of both sides are spelled in Latin letters from how they were written; with ``target_spelling`` "name" those
+    of the targets are spelled from their normalized form, as older feature tables have them.
+    """
     a, b = F.col("q"), F.col("c")
-    columns = plain_features(a, b) | ratio_features(a, b) | provenance(pairs)
+    columns = plain_features(a, b) | {name: F.col(f"ratios.{name}") for name in RATIOS} | provenance(pairs)
     rest = [c for c in pairs.columns if c not in ("q_id", "c_id", *columns)]
-    return joined(pairs, left, right).select("q_id", "c_id", *rest, *[v.alias(k) for k, v in columns.items()])
+    both = joined(pairs, left, right, target_spelling).withColumn("ratios", ratios(ratio_fields(a, b)))
+    return both.select("q_id", "c_id", *rest, *[v.alias(k) for k, v in columns.items()])
 
 
 def feature_names(table: DataFrame) -> list[str]:

@@ -68,6 +68,51 @@ def tfidf_top_k(queries: DataFrame, targets: DataFrame, column: str, k: int, gra
     return top_k(cosine(weigh(queries), weigh(targets)), k)
 
 
+def best_products(left: pd.DataFrame, right: pd.DataFrame, k: int, wide: int = 16384) -> pd.DataFrame:
+    """Each query's best ``k`` cosines between two frames of sparse rows (id, g, w), ``wide`` grams at a time; ties to the smaller id."""
+    none = pd.DataFrame({"q_id": [], "c_id": [], "score": []}, dtype=object)
+    if not len(left) or not len(right):
+        return none
+    flat = []
+    for side in (left, right):
+        sizes = side.g.map(len).to_numpy()
+        flat.append((np.repeat(np.arange(len(side)), sizes), np.concatenate(side.g.to_list()), np.concatenate(side.w.to_list())))
+    shared = np.intersect1d(flat[0][1], flat[1][1])
+    if not len(shared):
+        return none
+    dot = np.zeros((len(left), len(right)))
+    for start in range(0, len(shared), wide):
+        some = shared[start : start + wide]
+        dense = []
+        for side, (row, g, w) in zip((left, right), flat, strict=True):
+            at = np.minimum(np.searchsorted(some, g), len(some) - 1)
+            hit = some[at] == g
+            dense.append(np.zeros((len(side), len(some))))
+            dense[-1][row[hit], at[hit]] = w[hit]
+        dot += dense[0] @ dense[1].T
+    dot = np.round(dot, DIGITS)
+    row, column = best_columns(dot, right.id.to_numpy(), k)
+    keep = dot[row, column] > 0
+    row, column = row[keep], column[keep]
+    names = [pd.Series(x.tolist(), dtype=object) for x in (left.id.to_numpy()[row], right.id.to_numpy()[column])]
+    return pd.DataFrame({"q_id": names[0], "c_id": names[1], "score": dot[row, column]})
+
+
+def best_columns(dot: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` largest values of each row, ties to the smaller id: only values that reach the k-th are sorted."""
+    if dot.shape[1] > k:
+        kth = np.partition(dot, dot.shape[1] - k, axis=1)[:, dot.shape[1] - k]
+        row, column = np.nonzero(dot >= kth[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(dot.shape))
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((rank[column], -dot[row, column], row))
+    row, column = row[order], column[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], column[nth < k]
+
+
 def blocked_cosine_top_k(queries: DataFrame, targets: DataFrame, column: str, grams: tuple[int, int], k: int, block: int = 512, wide: int = 16384) -> DataFrame:
     """The same rows as ``cosine_top_k``, for long texts: both sides are cut into blocks of about ``block`` rows.
 
@@ -85,33 +130,7 @@ def blocked_cosine_top_k(queries: DataFrame, targets: DataFrame, column: str, gr
     c = packed(targets).select(F.col("id").alias("c_id"), F.col("country").alias("c_country"), "g", "w", every(parts[0]).alias("c_qb"), number(parts[1]).alias("c_cb"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q_id": [], "c_id": [], "score": []}, dtype=object)
-        flat = []
-        for side in (left, right):
-            row = np.repeat(np.arange(len(side)), side.g.map(len))
-            flat.append((row, np.concatenate(side.g.to_list()), np.concatenate(side.w.to_list())))
-        shared = np.intersect1d(flat[0][1], flat[1][1])
-        dot = np.zeros((len(left), len(right)))
-        for start in range(0, len(shared), wide):
-            some = shared[start : start + wide]
-            dense = []
-            for side, (row, g, w) in zip((left, right), flat, strict=True):
-                at = np.minimum(np.searchsorted(some, g), len(some) - 1)
-                hit = some[at] == g
-                dense.append(np.zeros((len(side), len(some))))
-                dense[-1][row[hit], at[hit]] = w[hit]
-            dot += dense[0] @ dense[1].T
-        dot = np.round(dot, DIGITS)
-        ids = right.c_id.to_numpy()
-        rank = np.argsort(np.argsort(ids))
-        picks = []
-        for i in range(len(left)):
-            order = np.lexsort((rank, -dot[i]))[:k]
-            picks.append(order[dot[i, order] > 0])
-        of, order = np.repeat(np.arange(len(left)), [len(x) for x in picks]), np.concatenate(picks)
-        names = [pd.Series(x.tolist(), dtype=object) for x in (left.id.to_numpy()[of], ids[order])]
-        return pd.DataFrame({"q_id": names[0], "c_id": names[1], "score": dot[of, order]})
+        return best_products(left, right, k, wide)
 
     kind = dict(queries.dtypes)["id"]
     return top_k(q.groupBy("country", "qb", "cb").cogroup(c.groupBy("c_country", "c_qb", "c_cb")).applyInPandas(best, f"q_id {kind}, c_id {kind}, score double"), k)
@@ -137,18 +156,6 @@ def rarest_keys(query_keys: DataFrame, target_keys: DataFrame, k: int = 3) -> Da
     return found.where(F.col("nth") <= k).select("id", "country", "key", "df", "nth")
 
 
-def routed_pairs(queries: DataFrame, targets: DataFrame, kind: str, k: int = 3, target_keys: DataFrame | None = None) -> DataFrame:
-    """Pairs that share one of the query's rarest keys."""
-    target_keys = keys(targets, kind) if target_keys is None else target_keys
-    chosen = rarest_keys(keys(queries, kind), target_keys, k)
-    return (
-        chosen.select(F.col("id").alias("q_id"), "country", "key")
-        .join(target_keys.select(F.col("id").alias("c_id"), "country", "key"), ["country", "key"])
-        .select("q_id", "c_id")
-        .distinct()
-    )
-
-
 def routed_top_k(
     queries: DataFrame,
     targets: DataFrame,
@@ -158,26 +165,45 @@ def routed_top_k(
     rarest: int = 3,
     target_keys: DataFrame | None = None,
     target_grams: DataFrame | None = None,
+    block: int = 2048,
 ) -> DataFrame:
-    """Cosine search among routed pairs only. Keys and weights of the targets may be given, from an index.
+    """Cosine search only among pairs that share one of the query's rarest keys. Keys and weights of the targets may be given, from an index.
 
-    The weights of each side travel once per pair, as arrays ordered by a 64-bit
-    hash of the gram; the product is taken on the grams that a pair shares, so
-    frequent grams cost nothing extra.
+    The queries and targets of a key meet in one group, or, where a key has more than ``block`` of either, in one for
+    each pair of blocks, so that a key that most targets have is spread over many tasks. Small groups share a task. The
+    products of a group are a matrix product; each query's best ``k`` of it go on.
     """
-    pairs = routed_pairs(queries, targets, kind, rarest, target_keys)
-
-    def packed(weights: DataFrame, id_: str, side: str) -> DataFrame:
-        entry = F.array_sort(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")))
-        return weights.groupBy(F.col("id").alias(id_)).agg(entry.alias("x")).select(id_, F.col("x.g").alias(f"{side}g"), F.col("x.w").alias(f"{side}w"))
-
-    q = packed(gram_weights(queries, kind, grams), "q_id", "q")
-    c = packed(gram_weights(targets, kind, grams) if target_grams is None else target_grams, "c_id", "c")
-    both = pairs.join(q, "q_id").join(c, "c_id")
-    weight = lambda side, g: F.element_at(f"{side}w", F.array_position(f"{side}g", g).cast("int"))
-    product = F.aggregate(F.array_intersect("qg", "cg"), F.lit(0.0), lambda s, g: s + weight("q", g) * weight("c", g))
-    scored = both.select("q_id", "c_id", F.round(product, DIGITS).alias("score")).where("score > 0")
-    return top_k(scored, k)
+    target_keys = keys(targets, kind) if target_keys is None else target_keys
+    chosen = rarest_keys(keys(queries, kind), target_keys, rarest).select("id", "country", "key")
+    weights = gram_weights(targets, kind, grams) if target_grams is None else target_grams
+
+    def packed(rows: DataFrame) -> DataFrame:
+        entry = F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w"))
+        return rows.groupBy("id").agg(entry.alias("x")).select("id", F.col("x.g").alias("g"), F.col("x.w").alias("w"))
+
+    counts = [rows.groupBy("country", "key").agg(F.count("*").alias(n)) for rows, n in ((chosen, "qn"), (target_keys, "cn"))]
+    parts = [F.ceil(F.col(n) / block).cast("int") for n in ("qn", "cn")]
+    sizes = counts[0].join(counts[1], ["country", "key"]).select("country", "key", parts[0].alias("qp"), parts[1].alias("cp"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = F.xxhash64("country", "key", "qb", "cb")
+    q = chosen.join(sizes, ["country", "key"]).withColumn("qb", own("qp")).withColumn("cb", every("cp")).select("id", group.alias("group"))
+    c = target_keys.select("id", "country", "key").distinct().join(sizes, ["country", "key"]).withColumn("cb", own("cp")).withColumn("qb", every("qp")).select("id", group.alias("group"))
+    q, c = q.join(packed(gram_weights(queries, kind, grams)), "id"), c.join(packed(weights), "id")
+    # A task holds a few blocks at a time.
+    tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes.agg(F.coalesce(F.sum(F.col("qp") * F.col("cp")), F.lit(1))).first()[0] // 64))
+    number = F.pmod("group", F.lit(tasks)).cast("int")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        there = right.groupby("group").indices
+        out = [best_products(left.iloc[at], right.iloc[there[g]], k) for g, at in left.groupby("group").indices.items() if g in there]
+        out = [x for x in out if len(x)]
+        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "c_id": [], "score": []}, dtype=object)
+
+    kinds = [dict(rows.dtypes)["id"] for rows in (queries, target_keys)]
+    found = q.withColumn("task", number).groupBy("task").cogroup(c.withColumn("task", number).groupBy("task"))
+    scored = found.applyInPandas(best, f"q_id {kinds[0]}, c_id {kinds[1]}, score double")
+    return top_k(scored.dropDuplicates(["q_id", "c_id"]), k)
 
 
 def exact_pairs(queries: DataFrame, targets: DataFrame) -> DataFrame:
@@ -292,32 +318,84 @@ def embedding_top_k(queries: DataFrame, targets: DataFrame, k: int, digits: int
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q_id": [], "c_id": [], "score": []})
-        dot = np.stack(left.embedding).astype(float) @ np.stack(right.embedding).astype(float).T
-        dot = np.round(dot, digits)
-        rows = []
-        ids = right.id.to_numpy()
-        for i, own in enumerate(left.id.to_numpy()):
-            order = [j for j in np.lexsort((ids, -dot[i]))[: k + 1] if ids[j] != own][:k]
-            rows.append(pd.DataFrame({"q_id": own, "c_id": ids[order], "score": dot[i, order]}))
-        return pd.concat(rows)
+        dot = np.round(np.stack(left.embedding).astype(float) @ np.stack(right.embedding).astype(float).T, digits)
+        q_ids, c_ids = left.id.to_numpy(), right.id.to_numpy()
+        dot[q_ids[:, None] == c_ids[None, :]] = -np.inf
+        row, column = best_columns(dot, c_ids, k)
+        keep = np.isfinite(dot[row, column])
+        row, column = row[keep], column[keep]
+        return pd.DataFrame({"q_id": q_ids[row], "c_id": c_ids[column], "score": dot[row, column]})
 
     kind = dict(queries.dtypes)["id"]
     scored = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, f"q_id {kind}, c_id {kind}, score double")
     return top_k(scored, k)
 
 
-def embedding_top_k_approx(vectors: DataFrame, k: int, length: float = 4.0, tables: int = 4, seed: int = 42) -> DataFrame:
-    """Search among vectors that share a bucket of random projections; cosine order for vectors of length 1."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def embedding_top_k_approx(vectors: DataFrame, k: int, cells: int | None = None, recall: float = 0.95, sample: int = 20_000, seed: int = 42, block: int = 4096) -> DataFrame:
+    """Search by inner product in the cells around each query (an inverted file); the record itself is left out.
 
-    rows = vectors.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, 2.0, "distance").where("datasetA.id <> datasetB.id")
-    scored = near.select(F.col("datasetA.id").alias("q_id"), F.col("datasetB.id").alias("c_id"), F.round(-F.col("distance"), 5).alias("score"))
+    Cells are the Voronoi cells of centres that k-means finds on a sample of at most ``sample`` rows. Every row lies in
+    one cell; a query looks into the cells whose centres have the largest inner products with it, as many as the
+    sample's own neighbours need for the share ``recall`` of them. That is a few of all cells where vectors form
+    groups, and most of them where they have no structure. Cells of more than ``block`` rows are searched in parts. The
+    index is fitted on the sample, but holds every row.
+    """
+    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = rows.count()
+    cells = max(1, int(round(n**0.5))) if cells is None else cells
+    picked = np.array([r["embedding"] for r in rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(sample, max(n, 1))).collect()], float)
+    if not len(picked):
+        return top_k(rows.select(F.col("id").alias("q_id"), F.col("id").alias("c_id"), F.lit(0.0).alias("score")), k)
+    centres = picked[np.random.default_rng(seed).permutation(len(picked))[:cells]]
+    for _ in range(12):
+        near = nearest(picked, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, picked)
+        held = np.bincount(near, minlength=len(centres))
+        centres = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centres)
+    # How far down its list of cells a sampled query finds its neighbours in the sample.
+    some = picked[:500]
+    dot = some @ picked.T
+    dot[np.arange(len(some)), np.arange(len(some))] = -np.inf
+    row, column = best_columns(dot, np.arange(len(picked)), min(k, max(len(picked) - 1, 1)))
+    place = np.argsort(np.argsort(-(some @ centres.T), axis=1), axis=1)[row, nearest(picked, centres)[column]]
+    look = int(np.sort(place)[min(int(np.ceil(recall * len(place))), len(place)) - 1]) + 1
+
+    def placed(batches):
+        for part in batches:
+            x = np.stack(part.embedding).astype(float) if len(part) else np.zeros((0, centres.shape[1]))
+            ahead = np.argpartition(-(x @ centres.T), min(look, len(centres) - 1), axis=1)[:, :look]
+            yield part.assign(cell=nearest(x, centres), cells=ahead.tolist())
+
+    kind = dict(vectors.dtypes)["id"]
+    held = rows.mapInPandas(placed, f"id {kind}, embedding array<double>, cell int, cells array<int>")
+    sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    c = held.join(sizes, "cell").select(F.col("id").alias("c_id"), F.col("embedding").alias("c_embedding"), F.col("cell").alias("c_cell"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("c_part"))
+    asked = held.select("id", "embedding", F.explode("cells").alias("cell")).join(sizes, "cell")
+    q = asked.select("id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for start in range(0, len(left) if len(right) else 0, block):
+            some = left.iloc[start : start + block]
+            dot = np.round(np.stack(some.embedding) @ np.stack(right.c_embedding).T, 5)
+            q_ids, c_ids = some.id.to_numpy(), right.c_id.to_numpy()
+            dot[q_ids[:, None] == c_ids[None, :]] = -np.inf
+            row, column = best_columns(dot, c_ids, k)
+            keep = np.isfinite(dot[row, column])
+            out.append(pd.DataFrame({"q_id": q_ids[row[keep]], "c_id": c_ids[column[keep]], "score": dot[row[keep], column[keep]]}))
+        out = [x for x in out if len(x)]
+        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "c_id": [], "score": []})
+
+    scored = q.groupBy("cell", "part").cogroup(c.groupBy("c_cell", "c_part")).applyInPandas(best, f"q_id {kind}, c_id {kind}, score double")
     return top_k(scored, k)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the centre with the smallest distance to each row."""
+    return np.argmin((centres * centres).sum(1) - 2 * (x @ centres.T), axis=1).astype(np.int32) if len(x) else np.zeros(0, np.int32)
+
+
 CHANNELS = ("name", "address", "structured", "embedding")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blockers, evaluation, learning, relational
 from ..operators.features import feature_names, pair_features, registry
+from ..sources.io import stored
 
 
 def candidates(left: DataFrame, right: DataFrame, k: int = 20) -> DataFrame:
@@ -48,7 +49,7 @@ def id_lists(entities: DataFrame, found: DataFrame, matched: DataFrame) -> DataF
 
 def infer(model, features: list[str], threshold: float, left: DataFrame, right: DataFrame, k: int = 20) -> DataFrame:
     """Candidate and match lists of every record of ``left``."""
-    found = candidates(left, right, k)
-    scored = learning.scored(model, pair_features(found, registry(left), registry(right)), features)
+    found = stored(candidates(left, right, k))
+    scored = stored(learning.scored(model, pair_features(found, registry(left), registry(right)), features).select("q_id", "c_id", "probability"))
     entities = left.select(F.col("entity_id").alias("q_id"))
     return id_lists(entities, found.select("q_id", "c_id"), scored.where(F.col("probability") >= threshold).select("q_id", "c_id"))

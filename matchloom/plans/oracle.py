@@ -148,3 +148,39 @@ def structured(name: str, k: int, form: str = "all", token_df: int = 500, number
 {name}_t as (select q_id, c_id, sum(w) weight, count(*) filter (kind = 'token') t, count(*) filter (kind = 'number') n from {name}_s group by all having bool_or(rare)),
 {name}_a as (select q_id, c_id, round((weight + {bonus})::double, 6) score, t tokens, n numbers from {name}_t),
 {ranked(name, f"{name}_a", k, "q_id, c_id, score, tokens, numbers")}"""
+
+
+def lcs(x: str, y: str) -> str:
+    """Length of the longest common subsequence of two strings of up to 120 characters: the rows as bits of one number."""
+    full = f"((1::hugeint << length({x})) - 1)"
+    bits = f"[list_sum([case when substring({x}, i, 1) = ch then 1::hugeint << (i - 1) else 0::hugeint end for i in range(1, length({x}) + 1)])::hugeint for ch in string_split({y}, '')]"
+    row = f"list_reduce(list_prepend({full}, {bits}), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})"
+    return f"case when {x} = {y} then length({x}) when {x} = '' or {y} = '' then 0 else length({x}) - bit_count({row}) end"
+
+
+def ratios(name: str, pairs: str) -> str:
+    """CTEs up to ``name``: a, b and their three ratios as shares of 1, for the distinct pairs (a, b) that ``pairs`` selects."""
+    sort = lambda t: f"array_to_string(list_sort({t}), ' ')"
+    share = lambda common, total: f"case when {total} = 0 then 1.0 else 200.0 * {common} / ({total}) / 100 end"
+    rest = lambda one, other: sort(f"[t for t in {one} if not list_contains({other}, t)]")
+    set_ = f"""case when len(xa) = 0 or len(xb) = 0 then 0.0 when both_ <> '' and (oa = '' or ob = '') then 1.0 else greatest({share("(l3.l + lead)", "(2 * lead + length(oa) + length(ob))")},
+  case when both_ <> '' then {share("length(both_)", "(length(both_) + lead + length(oa))")} else 0.0 end, case when both_ <> '' then {share("length(both_)", "(length(both_) + lead + length(ob))")} else 0.0 end) end"""
+    return f"""{name}_p as materialized (select distinct a, b from ({pairs})),
+{name}_t as materialized (select *, {sort(tokens("a"))} sa, {sort(tokens("b"))} sb, {token_set("a")} xa, {token_set("b")} xb from {name}_p),
+{name}_o as materialized (select *, {sort("list_intersect(xa, xb)")} both_, {rest("xa", "xb")} oa, {rest("xb", "xa")} ob from {name}_t),
+{name}_l as materialized (select x, y, {lcs("x", "y")} l from (select a x, b y from {name}_o union select sa, sb from {name}_o union select oa, ob from {name}_o)),
+{name} as materialized (select a, b, {share("l1.l", "(length(a) + length(b))")} ratio, {share("l2.l", "(length(sa) + length(sb))")} sort, {set_} "set"
+  from (select *, length(both_) + (both_ <> '')::int lead from {name}_o) join {name}_l l1 on l1.x = a and l1.y = b join {name}_l l2 on l2.x = sa and l2.y = sb join {name}_l l3 on l3.x = oa and l3.y = ob)"""
+
+
+def reranked(name: str, pool: str, k: int, form: str) -> str:
+    """CTEs up to ``name``: the pool ordered anew by its score and by names in ASCII, which are spelled as they are."""
+    own = "(partition by q_id)"
+    level = f"score / max(score) over {own}"
+    if form == "range":
+        level = f"case when max(score) over {own} = min(score) over {own} then 1.0 else (score - min(score) over {own}) / (max(score) over {own} - min(score) over {own}) end"
+    names = "0.35 * ratio + 0.15 * ratio" if form == "max" else """0.5 * case when n.a = '' or n.b = '' then 0.0 else greatest(ratio, sort, "set") end"""
+    return f"""{name}_n as materialized (select p.q_id, p.c_id, {level} as level, s1.name a, s2.name b from {pool} p join s1 on s1.id = q_id join s2 on s2.id = c_id),
+{ratios(f"{name}_r", f"select a, b from {name}_n")},
+{name}_s as materialized (select q_id, c_id, round((0.5 * level + {names})::double, 6) score from {name}_n n join {name}_r r on r.a = n.a and r.b = n.b),
+{ranked(name, f"{name}_s", k)}"""

@@ -12,6 +12,7 @@ from ..functions.fuzzy import lexical_similarity, ratio, token_set_ratio, token_
 from ..functions.translit import transliterate
 from ..operators import evaluation as E
 from ..operators import blockers, features, learning, relational, retrieval
+from ..sources import io
 from . import linkage
 from . import oracle as O
 from .tables import customers, sides, suppliers, table, truth, truth_lists
@@ -43,7 +44,7 @@ def text_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalize("text").alias("norm"))
 
 
-@query()
+@query(f"select doc_id, {O.norm('text')} as norm from documents")  # these texts have no compatibility forms; tests hold the function against Python
 def text_normalize_exact(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalize_exact("text").alias("norm"))
 
@@ -184,6 +185,17 @@ def truth_summary(spark, sf):
     return total.select(F.lit(n).cast("bigint").alias("entities"), "matched", "links", "most", F.lit(targets).cast("bigint").alias("targets"))
 
 
+@query(
+    f"""with {O.SOURCES}, {O.TRUTH}, l as (select q_id, case when right(c_id, 1) in ('1', '3', '5', '7', '9') then 'S3' else 'S2' end s from truth),
+p as (select c.entity_id, country, count(s) links, coalesce(string_agg(distinct s, '+' order by s), 'none') sources from customers c left join l on q_id = c.entity_id group by all)
+select country, sources, count(*) entities, sum(links)::bigint links, max(links) most from p group by all"""
+)
+def truth_by_source(spark, sf):
+    """Suppliers with odd numbers stand for a third source."""
+    third = F.when(F.right("c_id", F.lit(1)).isin("1", "3", "5", "7", "9"), F.replace("c_id", F.lit("S2-"), F.lit("S3-"))).otherwise(F.col("c_id"))
+    return E.truth_by_source(customers(spark, sf).select(F.col("entity_id").alias("q_id"), "country"), truth(spark, sf).select("q_id", third.alias("c_id")))
+
+
 @query(
     f"""with {O.SIDES}, {O.TRUTH} select count(*) positives, count(*) filter (a.name = b.name and a.name <> '') name_equal, count(*) filter (a.address = b.address and a.address <> '') address_equal,
  count(*) filter (a.country = b.country) country_equal, count(*) filter ((a.name = b.name and a.name <> '') or (a.address = b.address and a.address <> '')) either_equal,
@@ -237,6 +249,56 @@ def coerced_numbers(spark, sf):
     return table(spark, sf, "events").select("event_id", "event_type", F.coalesce(k, F.lit(0)).cast("bigint").alias("k"))
 
 
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query(f"with {O.SOURCES} select * from customers")
+def delimited_registry(spark, sf):
+    """A registry as tab-separated text, written and read again."""
+    path = io.shared_folder(spark)
+    io.write_delimited(customers(spark, sf), path)
+    return io.read_registry(spark, path)
+
+
+@query("select p_partkey::varchar p_partkey, p_name, coalesce(p_type, '') p_type from part")
+def comma_separated_parts(spark, sf):
+    path = io.shared_folder(spark)
+    io.write_delimited(table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), path, sep=",")
+    return io.read_delimited(spark, path, ("p_partkey", "p_name", "p_type"), sep=",")
+
+
+@query(f"with {O.SOURCES}, {O.TRUTH}, {O.LISTS} select * from lists")
+def delimited_truth(spark, sf):
+    path = io.shared_folder(spark)
+    io.write_lists(truth_lists(spark, sf), "source1_entity_id", "matched_entity_ids", path)
+    return io.read_truth(spark, path)
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) n, round(sum(o_totalprice), 2) total from orders where o_orderpriority like '1-%' group by all")
+def globbed_parts(spark, sf):
+    """Orders in folders by status and priority; a pattern reads one priority's folders of every status."""
+    path = io.shared_folder(spark)
+    io.write_parquet(table(spark, sf, "orders"), path, ("o_orderstatus", "o_orderpriority"))
+    rows = io.read_parts(spark, f"{path}/*/o_orderpriority=1-*", path)
+    return rows.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("select distinct o_custkey from orders where o_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
+def unfinished_keys(spark, sf):
+    """Customers of all orders that a first run, over finished orders only, has not written."""
+    orders, path = table(spark, sf, "orders"), io.shared_folder(spark)
+    io.write_parquet(orders.where("o_orderstatus = 'F'").select("o_custkey", "o_totalprice"), path)
+    return io.unfinished(orders.select("o_custkey").distinct(), spark, path, ["o_custkey"])
+
+
+@query("select o_orderstatus, count(*) n, round(avg(o_totalprice), 4) mean, null::varchar note from orders group by 1")
+def json_statistics(spark, sf):
+    """Statistics written as JSON and read with a field that is not there."""
+    path = io.shared_folder(spark)
+    io.write_json(table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean")), path)
+    return io.read_json(spark, path, "o_orderstatus string, n bigint, mean double, note string")
+
+
 # ---------------------------------------------------------------- retrieval
 
 
@@ -329,19 +391,17 @@ def reranked(spark, sf, form: str) -> DataFrame:
     return found(retrieval.rerank(retrieval.structured_top_k(left, right, 100), left, right, 25, form))
 
 
-@query()
-def structured_rerank(spark, sf):
-    return reranked(spark, sf, "max")
-
+def rerank_query(name: str, form: str) -> None:
+    def run(spark, sf):
+        return reranked(spark, sf, form)
 
-@query()
-def structured_rerank_lexical(spark, sf):
-    return reranked(spark, sf, "lexical")
+    run.__name__ = name
+    query(f"with {O.SIDES}, {O.structured('st', 100)}, {O.reranked('r', 'st', 25, form)} select * from r")(run)
 
 
-@query()
-def structured_rerank_range(spark, sf):
-    return reranked(spark, sf, "range")
+rerank_query("structured_rerank", "max")
+rerank_query("structured_rerank_lexical", "lexical")
+rerank_query("structured_rerank_range", "range")
 
 
 MERGED = f"""{O.SIDES}, {O.TRUTH}, {O.routed("nm", "name", 3, 4)}, {O.routed("ad", "address", 3, 5)}, {O.structured("st", 25)},
@@ -367,11 +427,6 @@ def merged_candidates(spark, sf):
     return merged(spark, sf)
 
 
-@query()
-def hybrid_candidates(spark, sf):
-    return blockers.hybrid(*sides(spark, sf))
-
-
 FULL = f"""{O.SIDES}, {O.weights("nq", "s1", "name", 3, 4)}, {O.weights("nc", "s2", "name", 3, 4)}, {O.cosine("ns", "nq", "nc")}, {O.ranked("nm", "ns", 20)},
 {O.weights("aq", "s1", "address", 3, 5)}, {O.weights("ac", "s2", "address", 3, 5)}, {O.cosine("as_", "aq", "ac")}, {O.ranked("ad", "as_", 20)}"""
 
@@ -392,11 +447,31 @@ def folded_candidates(spark, sf):
     return blockers.folded(*sides(spark, sf))
 
 
-@query()
+PLACE = " union all select q_id, c_id, 0, 0, 1, 0, 0, score from pl"
+
+
+@query(f"with {FULL}, {O.structured('st', 100, 'selective', stop=T.STOP_FIRST, least=1)}, {O.reranked('pl', 'st', 25, 'lexical')} {channels_sql(PLACE)}")
 def country_candidates(spark, sf):
     return blockers.country(*sides(spark, sf))
 
 
+ROUTED = f"""{O.SIDES}, {O.routed("nm", "name", 3, 4)}, {O.routed("ad", "address", 3, 5)}"""
+
+
+@query(f"with {ROUTED}, {O.structured('st', 100)}, {O.reranked('pl', 'st', 25, 'max')} {channels_sql(PLACE)}")
+def hybrid_candidates(spark, sf):
+    return blockers.hybrid(*sides(spark, sf))
+
+
+@query(f"with {ROUTED} {channels_sql('')}")
+def stored_index_candidates(spark, sf):
+    """The routed searches on an index that is written, by country, and read again."""
+    left, right = sides(spark, sf)
+    path = io.shared_folder(spark)
+    blockers.Index.of(right).write(path)
+    return blockers.routed(left, blockers.Index.read(spark, path))
+
+
 def vectors(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
@@ -431,23 +506,41 @@ def length_ratio(a: str, b: str) -> str:
     return f"case when length({a}) = 0 and length({b}) = 0 then 1.0 when length({a}) = 0 or length({b}) = 0 then 0.0 else least(length({a}), length({b}))::double / greatest(length({a}), length({b})) end"
 
 
-@query(
-    f"""with {MERGED}, {FEATURE_SQL} select q_id, c_id, (na = nb and na <> '')::int name_exact, {O.jaccard("ta", "tb")} name_token_jaccard, {length_ratio("na", "nb")} name_length_ratio,
+PLAIN = f"""(na = nb and na <> '')::int name_exact, {O.jaccard("ta", "tb")} name_token_jaccard, {length_ratio("na", "nb")} name_length_ratio,
  len(ta)::int name_token_count_s1, len(tb)::int name_token_count_s2, sh::int shared_name_token_count, {per("sh", "ta")} s1_name_containment, {per("sh", "tb")} s2_name_containment,
  len(ma)::int meaningful_name_token_count_s1, len(mb)::int meaningful_name_token_count_s2, sm::int shared_meaningful_name_tokens, (len(ma) - sm)::int extra_meaningful_tokens_s1,
  (len(mb) - sm)::int extra_meaningful_tokens_s2, {per("sm", "ma")} meaningful_s1_containment, {per("sm", "mb")} meaningful_s2_containment, {O.jaccard("ga", "gb")} name_char_3gram_jaccard,
  (aa = ab and aa <> '')::int address_exact, {O.jaccard("pa", "pb")} address_token_jaccard, {length_ratio("aa", "ab")} address_length_ratio, (aa = '')::int s1_address_missing, (ab = '')::int s2_address_missing,
  sn::int shared_number_count, {O.jaccard("xa", "xb")} number_jaccard, (len(xa) > 0 and len(xb) > 0 and sn = len(xa) and sn = len(xb))::int number_exact_set,
  (len(xa) > 0 and len(xb) > 0)::int both_have_numbers, (len(xa) > 0 and len(xb) > 0 and sn = 0)::int number_conflict, (len(oa) > 0 and oa = ob)::int ordered_number_exact,
- (len(oa) > 0 and len(ob) > 0 and oa[1] = ob[1])::int first_number_match, (len(oa) > 0 and len(ob) > 0 and oa[1] <> ob[1])::int first_number_conflict from g"""
-)
+ (len(oa) > 0 and len(ob) > 0 and oa[1] = ob[1])::int first_number_match, (len(oa) > 0 and len(ob) > 0 and oa[1] <> ob[1])::int first_number_conflict"""
+
+
+@query(f"with {MERGED}, {FEATURE_SQL} select q_id, c_id, {PLAIN} from g")
 def pair_features_plain(spark, sf):
     left, right = sides(spark, sf)
     columns = features.plain_features(F.col("q"), F.col("c"))
     return features.joined(merged(spark, sf).select("q_id", "c_id"), left, right).select("q_id", "c_id", *[v.alias(k) for k, v in columns.items()])
 
 
-@query()
+# Names are in ASCII here, so their spelling in Latin letters is the normalized name.
+WITH_RATIOS = f"""b as materialized (select *, {O.bare("na")} ba, {O.bare("nb")} bb from g),
+{O.ratios("rt", "select na a, nb b from b union all select ba, bb from b union all select aa, ab from b")},
+every as materialized (select b.q_id, b.c_id, {PLAIN}, rn.ratio name_ratio, rn.sort name_token_sort, rn."set" name_token_set, rb.ratio legal_suffix_stripped_ratio, rb."set" legal_suffix_stripped_token_set,
+ rn.ratio translit_name_ratio, rn.sort translit_name_token_sort, rn."set" translit_name_token_set, ra.ratio address_ratio, ra.sort address_token_sort, ra."set" address_token_set
+ from b join rt rn on rn.a = na and rn.b = nb join rt rb on rb.a = ba and rb.b = bb join rt ra on ra.a = aa and ra.b = ab)"""
+ORIGIN = "m.*, (from_name_blocker + from_address_blocker + from_structured_blocker + from_embedding_blocker)::int blocker_count"
+COMBINED = """(address_token_jaccard >= 0.8 and name_ratio < 0.6)::int strong_address_weak_name, (name_token_set >= 0.9 and address_token_jaccard < 0.3)::int strong_name_weak_address,
+ (address_token_jaccard >= 0.8 and number_jaccard >= 0.8)::int address_number_agreement, (address_token_set >= 0.9 and name_token_set < 0.6)::int high_address_low_name,
+ (translit_name_ratio >= 0.8 and name_ratio < 0.5)::int translit_rescue, (translit_name_token_set >= 0.8 and address_token_set >= 0.8 and name_ratio < 0.6)::int translit_address_rescue,
+ (address_token_jaccard >= 0.8 and number_jaccard >= 0.8 and name_token_set < 0.5)::int strong_address_number_name_conflict, (name_token_set >= 0.9 and number_conflict = 1)::int strong_name_number_conflict,
+ address_token_jaccard * number_jaccard address_x_number, address_token_set * number_jaccard address_set_x_number, name_token_set * address_token_set name_x_address,
+ name_token_jaccard * address_token_jaccard name_jaccard_x_address_jaccard, translit_name_token_set * address_token_set translit_x_address, translit_name_ratio * address_token_jaccard translit_ratio_x_address_jaccard,
+ meaningful_s1_containment * meaningful_s2_containment * address_token_set meaningful_name_x_address, least(name_token_set, address_token_set) name_address_min, greatest(name_token_set, address_token_set) name_address_max,
+ abs(name_token_set - address_token_set) name_address_abs_diff"""
+
+
+@query(f"with {MERGED}, {FEATURE_SQL}, {WITH_RATIOS} select e.*, {ORIGIN.replace('m.*', 'm.* exclude (q_id, c_id)')}, {COMBINED} from every e join merged m on m.q_id = e.q_id and m.c_id = e.c_id")
 def pair_features_all(spark, sf):
     return features.interactions(features.pair_features(merged(spark, sf), *sides(spark, sf)))
 
@@ -471,11 +564,11 @@ HARD = "greatest(name_retrieval_score, address_retrieval_score, structured_retri
 @query(
     f"""with {MERGED}, {LABELLED}, h as (select *, round({HARD}, 6) hardness, case when {O.fraction("q_id")} < 0.2 then 'val' else 'train' end split from labelled),
 r as (select *, row_number() over (partition by q_id, label order by hardness desc, c_id) nth from h)
-select q_id, c_id, label, split, hardness from r where split = 'val' or label = 1 or nth <= 5"""
+select q_id, c_id, label, split, hardness from r where split = 'val' or label = 1 or nth <= 20"""
 )
 def mined_negatives(spark, sf):
     pairs = E.labelled(merged(spark, sf), truth(spark, sf)).withColumn("split", T.split_name("q_id"))
-    return E.mined(pairs, 5).select("q_id", "c_id", "label", "split", "hardness")
+    return E.mined(pairs, 20).select("q_id", "c_id", "label", "split", "hardness")
 
 
 def entities(spark, sf) -> DataFrame:
@@ -497,12 +590,12 @@ def recall_by_k(spark, sf):
 @query(
     f"""with {MERGED}, {LABELLED}, h as (select *, {HARD} hardness, case when {O.fraction("q_id")} < 0.2 then 'val' else 'train' end split from labelled),
 r as (select *, row_number() over (partition by q_id, label order by round(hardness, 6) desc, c_id) nth from h)
-select country, r.split, count(*) candidates, count(*) filter (r.split = 'val' or label = 1 or nth <= 5) kept, sum(label)::bigint positives, count(distinct q_id) queries from r join s1 on s1.id = q_id group by all"""
+select country, r.split, count(*) candidates, count(*) filter (r.split = 'val' or label = 1 or nth <= 20) kept, sum(label)::bigint positives, count(distinct q_id) queries from r join s1 on s1.id = q_id group by all"""
 )
 def batch_statistics(spark, sf):
     left, _ = sides(spark, sf)
     pairs = E.labelled(merged(spark, sf), truth(spark, sf)).withColumn("split", T.split_name("q_id"))
-    return E.batch_statistics(pairs.join(left.select(F.col("id").alias("q_id"), "country"), "q_id"), 5)
+    return E.batch_statistics(pairs.join(left.select(F.col("id").alias("q_id"), "country"), "q_id"), 20)
 
 
 @query(
@@ -546,8 +639,11 @@ def scored(spark, sf) -> DataFrame:
 
 def f_half_sql(thresholds: list[float]) -> str:
     grid = "[" + ", ".join(f"{t}::double" for t in thresholds) + "]"
-    return f"""with {MERGED}, {LABELLED}, {SCORED}, ts as (select unnest({grid}) threshold),
-k as (select s1.id q_id, count(t.c_id) links from s1 left join truth t on t.q_id = s1.id group by 1),
+    return f"""with {MERGED}, {LABELLED}, {SCORED}, ts as (select unnest({grid}) threshold), {f_half_steps()}"""
+
+
+def f_half_steps() -> str:
+    return """k as (select s1.id q_id, count(t.c_id) links from s1 left join truth t on t.q_id = s1.id group by 1),
 m as (select q_id, threshold, sum(label) tp, sum(1 - label) fp from scored join ts on probability >= threshold group by all),
 e as (select threshold, k.q_id, links, coalesce(tp, 0) tp, coalesce(fp, 0) fp from k cross join ts left join m using (q_id, threshold)),
 r as (select threshold, round(avg(case when 1.25 * tp + 0.25 * (links - tp) + fp = 0 then 1.0 else 1.25 * tp / (1.25 * tp + 0.25 * (links - tp) + fp) end), 6) f_half, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(links - tp)::bigint fn from e group by 1)"""
@@ -567,7 +663,14 @@ def best_threshold(spark, sf):
     return rows.orderBy(F.col("f_half").desc(), "threshold").limit(1).select("threshold", "f_half")
 
 
-@query()
+FINE = f_half_steps().replace("k as (", "k2 as (").replace("from k cross join ts left join m ", "from k2 k cross join ts2 ts left join m2 ").replace("m as (", "m2 as (").replace("join ts on", "join ts2 ts on").replace("e as (", "e2 as (").replace("from e group", "from e2 group").replace("r as (", "r2 as (")
+
+
+@query(
+    f"""{f_half_sql(GRID)}, best as (select threshold t from r order by f_half desc, threshold limit 1),
+ts2 as (select threshold from (select round(t - 0.04::double + i * 0.002::double, 6) threshold from best cross join unnest(range(0, 41)) as u(i)) where threshold > 0 and threshold < 1), {FINE}
+select threshold, f_half from r2 order by f_half desc, threshold limit 1"""
+)
 def threshold_search(spark, sf):
     best = E.search_threshold(entities(spark, sf), truth(spark, sf), scored(spark, sf).drop("label"))
     return spark.createDataFrame([best], "threshold double, f_half double")
@@ -647,23 +750,27 @@ def training(spark, sf) -> DataFrame:
     return features.pair_features(E.mined(pairs, 20).drop("hardness"), *sides(spark, sf))
 
 
-@query()
+MINED = f"""{LABELLED}, h as (select *, round({HARD}, 6) hardness, case when {O.fraction("q_id")} < 0.2 then 'val' else 'train' end split from labelled),
+kept as materialized (select * exclude (hardness, nth) from (select *, row_number() over (partition by q_id, label order by hardness desc, c_id) nth from h) where split = 'val' or label = 1 or nth <= 20)"""
+
+
+@query(f"with {MERGED}, {MINED}, {FEATURE_SQL}, {WITH_RATIOS} select e.*, {ORIGIN.replace('m.*', 'm.* exclude (q_id, c_id)')} from every e join kept m on m.q_id = e.q_id and m.c_id = e.c_id")
 def training_table(spark, sf):
     return training(spark, sf)
 
 
 @query()
 def model_importance(spark, sf):
-    rows = training(spark, sf).cache()
+    rows = io.stored(training(spark, sf))
     names = features.feature_names(rows)
-    return learning.importance(learning.train(rows, names, rounds=8, depth=4), names, spark)
+    return learning.importance(learning.train(rows, names), names, spark)
 
 
 @query()
 def model_scores(spark, sf):
-    rows = training(spark, sf).cache()
+    rows = io.stored(training(spark, sf))
     names = features.feature_names(rows)
-    return learning.scored(learning.train(rows, names, rounds=8, depth=4), rows.where("split = 'val'"), names).select("q_id", "c_id", "label", "probability")
+    return learning.scored(learning.train(rows, names), rows.where("split = 'val'"), names).select("q_id", "c_id", "label", "probability")
 
 
 @query(f"with {MERGED}, {LABELLED} select label, round(avg(name_retrieval_score), 6) name_score, round(avg(address_retrieval_score), 6) address_score, count(*) n from labelled group by 1")
@@ -677,7 +784,7 @@ def means_by_label(spark, sf):
 select s1.id source1_entity_id, coalesce(c.ids, '') candidate_entity_ids, coalesce(m.ids, '') matched_entity_ids from s1 left join c on c.q_id = s1.id left join m on m.q_id = s1.id"""
 )
 def submission_lists(spark, sf):
-    rows = scored(spark, sf).cache()
+    rows = io.stored(scored(spark, sf))
     return linkage.id_lists(entities(spark, sf), rows.select("q_id", "c_id"), rows.where("probability >= 0.4").select("q_id", "c_id"))
 
 
@@ -685,8 +792,8 @@ def submission_lists(spark, sf):
 def inference(spark, sf):
     """Model and threshold from the training queries, lists for all."""
     left, right, links = customers(spark, sf), suppliers(spark, sf), truth(spark, sf)
-    rows = training(spark, sf).cache()
-    model, names, threshold, _ = linkage.fit(rows, entities(spark, sf), links, rounds=8, depth=4)
+    rows = io.stored(training(spark, sf))
+    model, names, threshold, _ = linkage.fit(rows, entities(spark, sf), links)
     return linkage.infer(model, names, threshold, left, right)
 
 
@@ -696,14 +803,10 @@ select q_id, c_id, score from s qualify row_number() over (partition by q_id ord
 )
 def stream_top_k(spark, sf):
     """Best event types of every user, from the events as a stream cut into files' batches."""
-    import tempfile
-    import uuid
-
     from ..streaming.topk import TopKTable
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-")
     events = table(spark, sf, "events")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = io.shared_folder(spark)
     source = f"{base}/in"
     pairs = events.select(F.col("user_id").cast("string").alias("q_id"), F.col("event_type").alias("c_id"), F.col("value").alias("score"))
     pairs.repartition(4).write.parquet(source)

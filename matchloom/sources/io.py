@@ -6,6 +6,10 @@ empty string.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
@@ -83,3 +87,25 @@ def unfinished(keys: DataFrame, spark: SparkSession, path: str, by: list[str]) -
 def write_json(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Meta data and statistics as ``write_json`` leaves them; a field that is missing is null."""
+    return spark.read.schema(schema).json(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path in the folder that driver and executors share (spark.checkpoint.dir); a local one on one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="matchloom-")
+    return f"{base.rstrip('/')}/matchloom/{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read again: computed once, and a lost executor costs a reread."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

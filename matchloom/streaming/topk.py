@@ -7,7 +7,6 @@ stream equals the batch result, however the stream was cut.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,19 +19,38 @@ SCHEMA = "q_id string, c_id string, score double"
 
 
 class TopKTable:
-    """A table of best pairs in a folder, a new version for each micro-batch; the version of a batch that is repeated is the same."""
+    """A table of best pairs in a folder that all machines share: a version for each micro-batch, written under its number.
+
+    A batch starts from the newest whole version before it. So a batch that is repeated after a stop gives the same
+    version again, and a new object on the same folder goes on where the last one ended. Two versions are kept.
+    """
 
     def __init__(self, path: str, k: int):
-        self.path, self.k, self.now = path, k, None
+        self.path, self.k = path.rstrip("/"), k
+
+    def folder(self, spark):
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self, spark) -> list[int]:
+        """Numbers of the versions written to their end, in order."""
+        root, files = self.folder(spark)
+        if not files.exists(root):
+            return []
+        whole = spark._jvm.org.apache.hadoop.fs.Path
+        found = [s.getPath() for s in files.listStatus(root)]
+        return sorted(int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and files.exists(whole(p, "_SUCCESS")))
 
-    def read(self, spark) -> DataFrame:
-        return spark.read.parquet(self.now) if self.now else spark.createDataFrame([], SCHEMA)
+    def read(self, spark, before: int | None = None) -> DataFrame:
+        numbers = [n for n in self.versions(spark) if before is None or n < before]
+        return spark.read.schema(SCHEMA).parquet(f"{self.path}/v{numbers[-1]}") if numbers else spark.createDataFrame([], SCHEMA)
 
     def merge(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{self.path}/v{number}-{uuid.uuid4().hex[:8]}"
-        merge_top_k(self.read(spark), batch, self.k).write.parquet(target)
-        self.now = target
+        merge_top_k(self.read(spark, number), batch, self.k).write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        _, files = self.folder(spark)
+        for old in self.versions(spark)[:-2]:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
