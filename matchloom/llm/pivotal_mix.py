@@ -166,4 +166,5 @@ def mixed(docs: DataFrame, fanin: int = FANIN) -> DataFrame:
     rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
     times = (F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
     taken = saved(_mixture(rows, fanin).select("__row", times.alias("__times")).where("__times > 0"))
-    return rows.join(taken, "__row").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(names)
+    # One way at every size: the texts are dealt out by their numbers, however few rows the other side has.
+    return rows.join(taken.hint("merge"), "__row").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(names)

@@ -165,4 +165,5 @@ def sharded(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     # Written with their numbers, which are then the same wherever they are read.
     rows = saved(docs.select(*names).withColumn("__row", F.monotonically_increasing_id()))
     places = shards(rows, count).select("__row", "shard", "slot")
-    return rows.join(saved(places), "__row").select(*names, "shard", "slot")
+    # One way at every size, as in the mix.
+    return rows.join(saved(places).hint("merge"), "__row").select(*names, "shard", "slot")
