@@ -13,7 +13,7 @@ def assembled(table: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(table.fillna(0, features))
 
 
-def train(table: DataFrame, features: list[str], rounds: int = 200, depth: int = 5, rate: float = 0.1, seed: int = 42) -> GBTClassificationModel:
+def train(table: DataFrame, features: list[str], rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42) -> GBTClassificationModel:
     """A model of ``label`` on the rows whose split is train; rows of the split val, if any, stop the training early."""
     held = (F.col("split") == "val") if "split" in table.columns else F.lit(False)
     data = assembled(table, features).withColumn("held", held).withColumn("label", F.col("label").cast("double"))

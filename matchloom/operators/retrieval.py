@@ -130,7 +130,7 @@ def blocked_cosine_top_k(queries: DataFrame, targets: DataFrame, column: str, gr
     c = packed(targets).select(F.col("id").alias("c_id"), F.col("country").alias("c_country"), "g", "w", every(parts[0]).alias("c_qb"), number(parts[1]).alias("c_cb"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return best_products(left, right, k, wide)
+        return best_products(left, right.rename(columns={"c_id": "id"}), k, wide)
 
     kind = dict(queries.dtypes)["id"]
     return top_k(q.groupBy("country", "qb", "cb").cogroup(c.groupBy("c_country", "c_qb", "c_cb")).applyInPandas(best, f"q_id {kind}, c_id {kind}, score double"), k)

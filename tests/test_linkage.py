@@ -183,6 +183,54 @@ def test_embedding_searches(spark):
     assert len(found & {(r.q_id, r.c_id) for r in near}) >= 0.9 * len(found)
 
 
+def test_cells_of_grouped_vectors(spark):
+    """All vectors of the table, and vectors that form groups: recall at ten of 0.9, the latter from a tenth of the pairs."""
+    import random
+
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(60)]
+    grouped = spark.createDataFrame([(i, [x + rng.gauss(0, 0.15) for x in centres[i % 60]]) for i in range(1500)], "id long, embedding array<double>")
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    for rows in (grouped, table):
+        exact = {(r.q_id, r.c_id) for r in retrieval.embedding_top_k(rows, rows, 10).collect()}
+        near = {(r.q_id, r.c_id) for r in retrieval.embedding_top_k_approx(rows, 10).collect()}
+        assert len(exact & near) >= 0.9 * len(exact)
+    assert retrieval.embedding_top_k_approx(grouped.limit(0), 10).count() == 0
+
+
+def test_routed_search_in_blocks(both):
+    """Keys cut into blocks of one record give the same rows."""
+    for kind, grams in (("name", retrieval.NAME_GRAMS), ("address", retrieval.ADDRESS_GRAMS)):
+        rows = [Counter(map(tuple, retrieval.routed_top_k(*both, kind, grams, 5, block=b).select("q_id", "c_id", "score", "rank").collect())) for b in (1, 2048)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_full_width_and_folded_names_match(spark):
+    wide = spark.createDataFrame([("S1-1", "ＡＣＭＥ Ｔｏｏｌｓ", "Straße 5", "X"), ("S1-2", "ﬁne ﬂour", "", "X"), ("S1-3", None, None, None)], "entity_id string, business_name string, business_address string, country string")
+    plain = spark.createDataFrame([("S2-1", "acme tools", "strasse 5", "X"), ("S2-2", "Fine Flour", "", "X")], "entity_id string, business_name string, business_address string, country string")
+    left, right = features.registry(wide), features.registry(plain)
+    assert {(r.q_id, r.c_id) for r in retrieval.exact_pairs(left, right).collect()} == {("S1-1", "S2-1"), ("S1-2", "S2-2")}
+    assert {r.id: r.name for r in left.collect()} == {"S1-1": "acme tools", "S1-2": "fine flour", "S1-3": ""}
+
+
+def test_pair_without_a_record_fails(spark, both):
+    from matchloom.operators.features import pair_features
+
+    pairs = spark.createDataFrame([("S1-1", "nobody")], "q_id string, c_id string")
+    with pytest.raises(Exception, match="no record with the id"):
+        pair_features(pairs, *both).collect()
+
+
+def test_target_spelling(spark):
+    from matchloom.operators.features import pair_features
+
+    rows = spark.createDataFrame([("a", "स्टार", "", "X")], "entity_id string, business_name string, business_address string, country string")
+    one = features.registry(rows)
+    pairs = spark.createDataFrame([("a", "a")], "q_id string, c_id string")
+    assert pair_features(pairs, one, one).first().translit_name_ratio == 1.0
+    assert pair_features(pairs, one, one, "name").first().translit_name_ratio < 1.0
+
+
 def test_f_half(spark):
     entities = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "q_id string")
     truth = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "q_id string, c_id string")
@@ -312,6 +360,21 @@ def test_stream(spark, tmp_path):
     assert set(best_by_hand(rows, 4)) <= {tuple(r) for r in out}
 
 
+def test_stream_goes_on_after_a_stop(spark, tmp_path):
+    """A new object on the same folder and checkpoint takes up what the first one left; a batch that is repeated changes nothing."""
+    rows = stream_pairs()
+    frame = lambda x: spark.createDataFrame(x, "q_id string, c_id string, score double")
+    for half in (rows[:200], rows[200:]):
+        frame(half).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("q_id string, c_id string, score double").parquet(f"{tmp_path}/in")
+        TopKTable(f"{tmp_path}/state", 4).follow(stream, f"{tmp_path}/checkpoint").awaitTermination()
+    table = TopKTable(f"{tmp_path}/state", 4)
+    assert sorted(map(tuple, table.read(spark).collect())) == best_by_hand(rows, 4)
+    last = table.versions(spark)[-1]
+    table.merge(frame(rows[200:]), last)
+    assert table.versions(spark)[-1] == last and sorted(map(tuple, table.read(spark).collect())) == best_by_hand(rows, 4)
+
+
 def test_merging_in_any_order(spark):
     rows = stream_pairs()
     frame = lambda x: spark.createDataFrame(x, "q_id string, c_id string, score double")
