@@ -8,7 +8,8 @@ k-th best score it knows. That score is propagated: a block of queries first
 searches one shard, and takes its k-th scores along to all other shards.
 
 The queries (rows whose id is divisible by ``EVERY``) are packed in blocks, and
-each block meets each shard's tree once. Results are exact: scores are computed
+each block meets each shard's tree once: the tree goes to one task (to a few,
+while there are fewer trees than tasks), and the blocks come to it there. Results are exact: scores are computed
 in doubles where these are exact, else in whole numbers of any size, and ties
 go to the smaller id. Scores beyond 64 bits are stated as the nearest 64-bit value.
 
@@ -188,11 +189,15 @@ def top_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, shard_row
     homes = trees.select("dim", "shard").join(packs.select("dim", "block"), "dim").withColumn("far", F.pmod(F.col("shard") - F.col("block"), F.lit(shards)))
     pairs = homes.withColumn("turn", F.row_number().over(Window.partitionBy("dim", "block").orderBy("far"))).select("dim", "block", "shard", "turn")
     none = F.lit(None).cast("array<struct<quid:bigint,least:decimal(38,0)>>")
+    # A tree is far larger than a block, so blocks travel to trees. Few trees are copied, so that every task has one.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = min(blocks, math.ceil(2 * tasks / shards))
+    copied = trees.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
     def met(some: DataFrame) -> DataFrame:
-        one = some.join(packs, ["dim", "block"]).join(trees, ["dim", "shard"])
-        spread = one.select("block", "queries", "known", "tree").repartition(F.col("block"), F.xxhash64("tree"))
-        return mapped(spread, walker(k), SCHEMA)
+        asking = some.join(packs, ["dim", "block"]).withColumn("copy", F.pmod("block", F.lit(copies)).cast("int"))
+        one = asking.join(copied.hint("merge"), ["dim", "shard", "copy"])
+        return mapped(one.select("block", "queries", "known", "tree"), walker(k), SCHEMA)
 
     first = saved(met(pairs.where("turn = 1").withColumn("known", none)))
     kth = (
