@@ -490,3 +490,22 @@ def test_grams_of_long_texts_are_laid_out_in_parts():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 60e6  # all grams at once: 70 MB
+
+
+def test_staged_channels_are_those_of_both_ways(spark, monkeypatch):
+    from matchloom.plans import queries
+
+    left, right = tables.sides(spark, SF)
+    times = Counter()
+    for name in ("routed_top_k", "structured_top_k"):
+        monkeypatch.setattr(retrieval, name, lambda *a, f=getattr(retrieval, name), name=name, **b: times.update([name]) or f(*a, **b))
+    plain, hybrid = blockers.staged(left, right)
+    assert times == {"routed_top_k": 2, "structured_top_k": 1}
+    rows = lambda table: sorted(map(tuple, table.select(sorted(table.columns)).collect()))
+    assert rows(plain) == rows(queries.merged(spark, SF)) and rows(hybrid) == rows(blockers.hybrid(left, right))
+    # The query takes its candidates from there: no search is run a second time for the lists.
+    times.clear()
+    monkeypatch.setattr(linkage, "fit", lambda *_: (None, None, None, None))
+    monkeypatch.setattr(linkage, "decided", lambda *_: None)
+    queries.inference(spark, SF)
+    assert times == {"routed_top_k": 2, "structured_top_k": 1}
