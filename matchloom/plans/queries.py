@@ -410,9 +410,9 @@ merged as materialized (select q_id, c_id, max(fn)::int from_name_blocker, max(f
  select q_id, c_id, 1 fn, 0 fa, 0 fs, score sn, 0.0 sa, 0.0 ss from nm union all select q_id, c_id, 0, 1, 0, 0, score, 0 from ad union all select q_id, c_id, 0, 0, 1, 0, 0, score from st) group by q_id, c_id)"""
 
 
-def merged(spark, sf) -> DataFrame:
-    """Three channels without the reranking, so that SQL can follow."""
-    left, right = sides(spark, sf)
+def merged(spark, sf, both: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Three channels without the reranking, so that SQL can follow; ``both`` are the registries, if they are written already."""
+    left, right = both or sides(spark, sf)
     return retrieval.merge_channels(
         {
             "name": retrieval.routed_top_k(left, right, "name", retrieval.NAME_GRAMS),
@@ -520,7 +520,7 @@ PLAIN = f"""(na = nb and na <> '')::int name_exact, {O.jaccard("ta", "tb")} name
 def pair_features_plain(spark, sf):
     left, right = sides(spark, sf)
     columns = features.plain_features(F.col("q"), F.col("c"))
-    return features.joined(merged(spark, sf).select("q_id", "c_id"), left, right).select("q_id", "c_id", *[v.alias(k) for k, v in columns.items()])
+    return features.joined(merged(spark, sf, (left, right)).select("q_id", "c_id"), left, right).select("q_id", "c_id", *[v.alias(k) for k, v in columns.items()])
 
 
 # Names are in ASCII here, so their spelling in Latin letters is the normalized name.
@@ -542,7 +542,8 @@ COMBINED = """(address_token_jaccard >= 0.8 and name_ratio < 0.6)::int strong_ad
 
 @query(f"with {MERGED}, {FEATURE_SQL}, {WITH_RATIOS} select e.*, {ORIGIN.replace('m.*', 'm.* exclude (q_id, c_id)')}, {COMBINED} from every e join merged m on m.q_id = e.q_id and m.c_id = e.c_id")
 def pair_features_all(spark, sf):
-    return features.interactions(features.pair_features(merged(spark, sf), *sides(spark, sf)))
+    both = sides(spark, sf)
+    return features.interactions(features.pair_features(merged(spark, sf, both), *both))
 
 
 @query()
@@ -746,7 +747,8 @@ def score_curves(spark, sf):
 
 
 def training(spark, sf) -> DataFrame:
-    return trained_on(merged(spark, sf), truth(spark, sf), *sides(spark, sf))
+    both = sides(spark, sf)
+    return trained_on(merged(spark, sf, both), truth(spark, sf), *both)
 
 
 def trained_on(found: DataFrame, links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

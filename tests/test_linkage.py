@@ -509,3 +509,28 @@ def test_staged_channels_are_those_of_both_ways(spark, monkeypatch):
     monkeypatch.setattr(linkage, "decided", lambda *_: None)
     queries.inference(spark, SF)
     assert times == {"routed_top_k": 2, "structured_top_k": 1}
+
+
+def test_features_move_a_record_once_a_block(spark, both):
+    pairs = spark.createDataFrame([(f"S1-{i}", f"S2-{j}", i * j) for i in range(1, 5) for j in range(1, 5)], "q_id string, c_id string, label int")
+    plan = features.pair_features(pairs, *both)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # Pairs and both registries are dealt by one key; no exchange lies between the joins, where a pair has its records.
+    assert len(moved) == 3 and all("(__cell#" in line and "_id#" not in line.split("Exchange")[1] for line in moved)
+    rows = lambda table: sorted(map(tuple, table.select("q_id", "c_id", "q", "c", "label").collect()))
+    small = rows(features.joined(pairs, *both, block=2))
+    assert len(small) == 16 and small == rows(features.joined(pairs, *both))
+    known = {r.q_id: r.q for r in features.prepared(both[0], "q").collect()}
+    assert all(known[q_id] == q for q_id, _, q, _, _ in small)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_training_writes_each_registry_once(spark, monkeypatch):
+    from matchloom.plans import queries
+
+    times = []
+    monkeypatch.setattr(queries, "sides", lambda *a, f=queries.sides: times.append(1) or f(*a))
+    for name in ("training_table", "pair_features_all", "pair_features_plain"):
+        queries.QUERIES[name](spark, SF)
+        assert len(times) == 1, name
+        times.clear()
