@@ -534,3 +534,51 @@ def test_training_writes_each_registry_once(spark, monkeypatch):
         queries.QUERIES[name](spark, SF)
         assert len(times) == 1, name
         times.clear()
+
+
+def test_training_and_lists_share_their_features(spark, monkeypatch):
+    """What training and lists take from the features of all pairs is what either had of its own; a pair's features are computed once."""
+    from matchloom.plans import queries
+    from matchloom.sources.io import stored
+
+    left, right = tables.sides(spark, SF)
+    links = tables.truth(spark, SF)
+    every = stored(linkage.featured(blockers.joint(left, right), links, left, right))
+    rows = lambda table: sorted(map(tuple, table.collect()))
+    alone = queries.trained_on(queries.merged(spark, SF, (left, right)), links, left, right)
+    training = blockers.without_reranking(every.where("kept")).drop("kept")
+    assert features.feature_names(training) == features.feature_names(alone)
+    assert rows(training.select(alone.columns)) == rows(alone)
+    alone = features.pair_features(blockers.hybrid(left, right), left, right)
+    assert rows(blockers.with_reranking(every).select(alone.columns)) == rows(alone)
+
+    times, said = [], []
+    monkeypatch.setattr(features, "joined", lambda *a, f=features.joined: times.append(1) or f(*a))
+    monkeypatch.setattr(linkage, "decided", lambda *a, f=linkage.decided: said.append(a) or f(*a))
+    monkeypatch.setattr(learning, "train", lambda *a, f=learning.train: f(*a, rounds=2, depth=3))
+    lists = rows(queries.inference(spark, SF))
+    assert len(times) == 1
+    model, names, threshold, entities, pairs = said[0]
+    scored = stored(learning.scored(model, pairs, names).select("q_id", "c_id", "probability"))
+    old = linkage.id_lists(entities.select(F.col("entity_id").alias("q_id")), scored.select("q_id", "c_id"), scored.where(F.col("probability") >= threshold).select("q_id", "c_id"))
+    assert lists == rows(old.select("source1_entity_id", "candidate_entity_ids", "matched_entity_ids"))
+
+
+def test_reranking_takes_ratios_of_many_pairs_at_once(monkeypatch):
+    import pandas as pd
+
+    from matchloom.functions import fuzzy
+
+    names = ["", "a", "acme paper", "customer 000000017", "supplier 000000071", "acme paper works"]
+    rows = pd.DataFrame([(a, b, b, a) for a in names for b in names], columns=["latin_a", "latin_b", "name_a", "name_b"])
+    alone = [fuzzy.plain_ratio(a, b) for a, b in zip(rows.latin_a, rows.latin_b, strict=True)]
+    monkeypatch.setattr(fuzzy, "lcs", None)
+    got = retrieval.name_ratios.func(rows)
+    assert got.latin.tolist() == got.name.tolist() == alone  # percents, to the last digit
+
+
+def test_registries_are_normalized_by_all_tasks(spark, monkeypatch):
+    parts = []
+    monkeypatch.setattr(tables, "registry", lambda rows, f=tables.registry: parts.append(rows.rdd.getNumPartitions()) or f(rows))
+    tables.sides(spark, SF)
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2
